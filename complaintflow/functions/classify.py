@@ -8,33 +8,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
+from complaintflow.functions.text import substrings_found
 
+KEYWORDS: tuple[str, ...] = tuple(dict.fromkeys(
+    k for labels in (lx.L3_KEYWORDS, lx.L1_KEYWORDS) for words in labels.values() for k in words))
 
-def keyword_hits(low: Column, keywords: Sequence[str]) -> Column:
-    """How many keywords occur as substrings, each counted once."""
-    hits = F.lit(0)
-    for k in keywords:
-        hits = hits + F.contains(low, F.lit(k)).cast("int")
-    return hits
 
+def keywords_found(low: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
+    """Which keywords occur as substrings; each is searched once for all votes."""
+    return substrings_found(low, keywords)
 
-def keyword_vote(low: Column, labels: Mapping[str, Sequence[str]], default: str) -> Column:
-    """struct(hits, label): most hits wins, the earlier label on ties, ``default`` without a hit."""
+
+def keyword_vote(hits: Column, labels: Mapping[str, Sequence[str]], default: str,
+                 keywords: Sequence[str] = KEYWORDS) -> Column:
+    """struct(hits, first, label): most keywords wins, the earlier label on ties, ``default``
+    without any. Each keyword counts once."""
     votes = [F.struct(F.lit(0).alias("hits"), F.lit(1).alias("first"), F.lit(default).alias("label"))]
-    for i, (label, keywords) in enumerate(labels.items()):
-        votes.append(F.struct(keyword_hits(low, keywords).alias("hits"), F.lit(-i).alias("first"),
-                              F.lit(label).alias("label")))
-    top = F.array_max(F.array(*votes))
-    return F.struct(top["hits"].alias("hits"), top["label"].alias("label"))
+    for i, (label, words) in enumerate(labels.items()):
+        n = F.lit(0)
+        for w in words:
+            n = n + F.get(hits, F.lit(keywords.index(w))).cast("int")
+        votes.append(F.struct(n.alias("hits"), F.lit(-i).alias("first"), F.lit(label).alias("label")))
+    return F.array_max(F.array(*votes))
 
 
-def layer3_vote(low: Column, labels: Mapping[str, Sequence[str]] = lx.L3_KEYWORDS) -> Column:
-    return keyword_vote(low, labels, lx.DEFAULT_L3)
+def layer3_vote(hits: Column) -> Column:
+    return keyword_vote(hits, lx.L3_KEYWORDS, lx.DEFAULT_L3)
 
 
-def layer1_vote(low: Column, labels: Mapping[str, Sequence[str]] = lx.L1_KEYWORDS) -> Column:
+def layer1_vote(hits: Column) -> Column:
     """The second label only with strictly more hits than the first."""
-    return keyword_vote(low, labels, lx.DEFAULT_L1)
+    return keyword_vote(hits, lx.L1_KEYWORDS, lx.DEFAULT_L1)
 
 
 def keyword_confidence(hits: Column) -> Column:

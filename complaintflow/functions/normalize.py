@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
-from complaintflow.functions.text import SPACE, WORD, bare, lookup, squeeze, strip
+from complaintflow.functions.text import SPACE, WORD, bare, fence, lookup, squeeze, strip
 
 
 # --------------------------------------------------------------------------- text-level steps
@@ -208,4 +208,4 @@ def normalize_text(df: DataFrame, col: str, out: str = "normalized", rules: Text
         cleaned, "_clean", "_words",
         lambda t, k: F.trim(F.regexp_replace(
             _replace_tokens(t, k, rules.single_word_table(), rules.pair_table()), " {2,}", " ")))
-    return replaced.select(*base, capitalise(F.col("_words")).alias(out))
+    return fence(replaced.select(*base, capitalise(F.col("_words")).alias(out)), out)

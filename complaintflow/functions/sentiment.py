@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
-from complaintflow.functions.text import contains_phrase, lookup, tokens
+from complaintflow.functions.text import contains_phrase, fence, lookup, substrings_found, tokens
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,11 @@ class SentimentRules:
         return neg, pos
 
 
-def phrase_score(low: Column, phrases: Mapping[str, int]) -> Column:
-    """Weights of the multi-word phrases found as plain substrings, each counted once."""
+def phrase_score(hits: Column, phrases: Mapping[str, int], searched: Sequence[str]) -> Column:
+    """Weights of the multi-word phrases among the substring hits over ``searched``; each counts once."""
     total = F.lit(0.0)
     for p, w in phrases.items():
-        total = total + F.when(F.contains(low, F.lit(p)), float(w)).otherwise(0.0)
+        total = total + F.when(F.get(hits, F.lit(searched.index(p))), float(w)).otherwise(0.0)
     return total
 
 
@@ -86,10 +86,8 @@ def override_label(label: Column, strong: Column, explicit: Column) -> Column:
 def best_score(scores: Column) -> Column:
     """The highest-scored element of an array of struct(label, score), the first one on ties;
     null for a null or empty array."""
-    ranked = F.transform(scores, lambda x, i: F.struct(
-        x["score"].alias("score"), (-i).alias("first"), x["label"].alias("label")))
-    top = F.array_max(ranked)
-    return F.when(top.isNotNull(), F.struct(top["label"].alias("label"), top["score"].alias("score")))
+    return F.array_max(F.transform(scores, lambda x, i: F.struct(
+        x["score"].alias("score"), (-i).alias("first"), x["label"].alias("label"))))
 
 
 def score_sentiment(df: DataFrame, text: str, rules: SentimentRules = SentimentRules(),
@@ -97,15 +95,20 @@ def score_sentiment(df: DataFrame, text: str, rules: SentimentRules = SentimentR
     """Adds ``sentiment``, ``sentiment_confidence`` (unrounded source value), ``sentiment_source``,
     ``strong_positive`` and ``explicit_negative``. ``model`` names an optional struct(label, score)
     column with the best model label; rows where it is null use the lexicon."""
-    low = F.lower(F.col(text))
     neg_phrases, pos_phrases = rules.phrase_weights()
-    staged = df.select(
-        "*", signed_weights(tokens(low, squeezed), rules).alias("_w"),
-        phrase_score(low, neg_phrases).alias("_negp"), phrase_score(low, pos_phrases).alias("_posp"),
+    phrases = [*neg_phrases, *pos_phrases] or ["\0"]
+    plain, low = df.columns, F.col("_low")
+    # every shared input is a column of its own: inside lambdas nothing is shared by the engine
+    staged = df.select("*", F.lower(F.col(text)).alias("_low"))
+    staged = staged.select("*", tokens(low, squeezed).alias("_words"))
+    staged = staged.select(
+        *plain, signed_weights(F.col("_words"), rules).alias("_w"), substrings_found(low, phrases).alias("_hits"),
         contains_phrase(low, rules.strong_positive).alias("strong_positive"),
         contains_phrase(low, rules.explicit_negative).alias("explicit_negative"))
     neg, pos = side_totals(F.col("_w"))
-    staged = staged.select("*", (F.col("_negp") + neg).alias("_neg"), (F.col("_posp") + pos).alias("_pos"))
+    hits = F.col("_hits")
+    staged = staged.select("*", (phrase_score(hits, neg_phrases, phrases) + neg).alias("_neg"),
+                           (phrase_score(hits, pos_phrases, phrases) + pos).alias("_pos"))
     label, conf = lexicon_decision(F.col("_neg"), F.col("_pos"))
     source: Column = F.lit(lx.SOURCE_LEXICON)
     if model is not None:
@@ -115,9 +118,10 @@ def score_sentiment(df: DataFrame, text: str, rules: SentimentRules = SentimentR
         source = F.when(has, lx.SOURCE_SENTIMENT_MODEL).otherwise(lx.SOURCE_LEXICON)
     staged = staged.select("*", label.alias("_label"), conf.alias("sentiment_confidence"),
                            source.alias("sentiment_source"))
-    return staged.withColumn(
+    staged = staged.withColumn(
         "sentiment", override_label(F.col("_label"), F.col("strong_positive"), F.col("explicit_negative"))
-    ).drop("_w", "_negp", "_posp", "_neg", "_pos", "_label")
+    ).drop("_w", "_hits", "_neg", "_pos", "_label")
+    return fence(staged, "sentiment", "sentiment_confidence", "sentiment_source", "strong_positive", "explicit_negative")
 
 
 def passes_gate(sentiment: Column) -> Column:

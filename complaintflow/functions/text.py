@@ -10,7 +10,7 @@ import re
 import zlib
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
@@ -82,6 +82,14 @@ def contains_phrase(c: Column, phrases: Sequence[str]) -> Column:
     return c.rlike(phrase_pattern(phrases))
 
 
+def substrings_found(c: Column, words: Sequence[str]) -> Column:
+    """array<boolean>, one element per word: whether it occurs anywhere in the text.
+
+    One byte search per word; measured, it beats a single alternation with look-ahead.
+    """
+    return F.array(*[F.contains(c, F.lit(w)) for w in words])
+
+
 def lookup(pairs: Mapping[str, object], value_type: str = "string") -> Callable[[Column], Column]:
     """Constant-time dictionary lookup inside a column expression; null when absent.
 
@@ -98,3 +106,15 @@ def lookup(pairs: Mapping[str, object], value_type: str = "string") -> Callable[
         buckets[zlib.crc32(k.encode("utf-8")) % n][k] = v
     table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>")
     return lambda c: F.get(table, (F.crc32(c.cast("binary")) % n).cast("int"))[c]
+
+
+def fence(df: DataFrame, *cols: str) -> DataFrame:
+    """Re-emits columns as generator output, one row for one row.
+
+    A filter or join key above a long chain of projections is otherwise traced back through it
+    by substitution: the optimizer multiplies the expressions at every step, and the whole chain
+    is then evaluated once for the predicate and once for the columns. Generator output is not
+    traced further.
+    """
+    others = [c for c in df.columns if c not in cols]
+    return df.select(*others, F.inline(F.array(F.struct(*cols))))

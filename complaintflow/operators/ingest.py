@@ -90,7 +90,7 @@ def first_matching(raw: DataFrame, count: int, sort: str = "newest", max_rating:
     """
     count = min(count, MAX_TARGET)
     pages = -(-max(50 * count, 5000) // PAGE_SIZE)
-    order = [F.col(SORT_COLUMNS[sort]).desc(), F.col("review_id")]
+    order = [F.col(SORT_COLUMNS[sort]).desc(), *[F.col(c) for c in ("review_id", "arrival") if c in raw.columns]]
     scanned = raw.orderBy(*order).limit(pages * PAGE_SIZE)
     kept = scanned.filter(
         rating_ceiling(F.col("score"), max_rating) & date_window(F.col("at"), date_from, date_to)

@@ -23,12 +23,10 @@ def label_axis(cells: DataFrame) -> DataFrame:
 def dense_matrix(cells: DataFrame, max_labels: int = MAX_DENSE_LABELS) -> DataFrame:
     """Long form with zero cells over the label axis. Beyond ``max_labels`` the zeros are left out,
     since the matrix itself would be the large object; the non-zero cells always stay complete."""
-    axis = label_axis(cells)
-    if axis.limit(max_labels + 1).count() > max_labels:
-        return cells
-    labels = [r["label"] for r in axis.collect()]
-    zeros = axis.select(F.col("label").alias("actual"), F.explode(F.lit(labels)).alias("predicted"),
-                        F.lit(0).cast("long").alias("n"))
+    axis = label_axis(cells).limit(max_labels + 1).agg(F.collect_list("label").alias("a"))
+    axis = axis.filter(F.size("a") <= max_labels)
+    zeros = (axis.select(F.explode("a").alias("actual"), "a")
+             .select("actual", F.explode("a").alias("predicted"), F.lit(0).cast("long").alias("n")))
     return cells.union(zeros).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 

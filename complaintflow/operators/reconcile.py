@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from complaintflow.functions.labels import clean_label
 from complaintflow.functions.text import strip
@@ -23,7 +24,7 @@ SCORED, MANUAL = "llm_zeroshot", "NEEDS_MANUAL_REVIEW"
 LAYER_COLUMNS = [f"LAYER {i}" for i in range(1, 6)]
 
 
-@F.pandas_udf("struct<option:string, score:double>")
+@F.pandas_udf(T.StructType([T.StructField("option", T.StringType()), T.StructField("score", T.DoubleType())]))
 def _closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Best option by matching-block ratio. The comparison is not symmetric: the search compares
     option to label, the reported score label to option. Null labels are not compared."""

@@ -25,12 +25,10 @@ def softmax(logits: Column) -> Column:
 
 
 def best_class(probabilities: Column, labels: Iterable[str]) -> Column:
-    """struct(label, score) of the most probable class, the lower index on ties."""
+    """struct(score, first, label) of the most probable class, the lower index on ties."""
     names = F.lit(list(labels))
-    ranked = F.transform(probabilities, lambda p, i: F.struct(
-        p.alias("score"), (-i).alias("first"), F.get(names, i).alias("label")))
-    top = F.array_max(ranked)
-    return F.struct(top["label"].alias("label"), top["score"].alias("score"))
+    return F.array_max(F.transform(probabilities, lambda p, i: F.struct(
+        p.alias("score"), (-i).alias("first"), F.get(names, i).alias("label"))))
 
 
 def per_review(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from complaintflow.functions.text import fence, lookup
 from complaintflow.operators.joins import is_small, small_side
 
 LEVELS = ["l1", "l2", "l3", "l4", "l5"]
+MAX_LITERAL_ROWS = 20_000
+TREE_TYPE = "array<struct<label:string,children:array<struct<label:string,param:string>>>>"
 
 
 def _filled(*names: str) -> Column:
@@ -20,19 +25,36 @@ def _filled(*names: str) -> Column:
     return cond
 
 
+def _path_key(*names: str) -> Column:
+    """One text for a path; null where a part is missing."""
+    return F.concat(*[c for n in names for c in (F.col(n), F.lit("\x1f"))])
+
+
 class Taxonomy:
     """Derived tables over rows ``(ord, l1..l5, param)``; ``ord`` is the source order.
 
     The option tables hold one row per path, so every lookup is an equality join.
     """
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, literal_rows: int = MAX_LITERAL_ROWS):
         self.rows = rows
+        self.literal_rows = literal_rows
 
     @cached_property
     def small(self) -> bool:
         return is_small(self.rows)
 
+    @cached_property
+    def literal(self) -> bool:
+        return is_small(self.rows, self.literal_rows)
+
+    @cached_property
+    def _literals(self):
+        tree, leaf = self.subtrees()
+        paths = tree.select(_path_key("l1", "l2", "l3"), F.to_json("_tree")).collect()
+        labels = leaf.select("l3", F.to_json("_leaf_tree")).collect()
+        return tuple(lookup({k: json.loads(v) for k, v in rows}, TREE_TYPE) for rows in (paths, labels))
+
     # ----------------------------------------------------------------- option sets
     def options(self, level: int) -> DataFrame:
         """Children at ``level`` (3, 4 or 5) per full parent path, sorted."""
@@ -141,16 +163,23 @@ class Taxonomy:
         """Adds ``layer4``, ``layer5`` and ``quality_param`` for the columns layer1..3: the best-scored
         option of the path, the first one without scores, blanks without options or eligibility.
 
-        ``l4_scores`` and ``l5_scores`` name map columns option -> score.
+        ``l4_scores`` and ``l5_scores`` name map columns option -> score. A taxonomy of up to
+        ``literal_rows`` rows is a lookup inside the projection; a larger one is joined.
         """
-        tree, leaf = self.subtrees()
-        tree = tree.select(*[F.col(f"l{i}").alias(f"_k{i}") for i in (1, 2, 3)], "_tree")
-        leaf = leaf.select(F.col("l3").alias("_k3"), "_leaf_tree")
         plain = df.columns
         df = df.select(*plain, *[F.when(eligible, F.col(f"layer{i}")).alias(f"_k{i}") for i in (1, 2, 3)])
-        df = df.join(small_side(tree, self.small), ["_k1", "_k2", "_k3"], "left")
-        df = df.join(small_side(leaf, self.small), ["_k3"], "left")
-        df = df.select(*plain, best_option(F.coalesce("_tree", "_leaf_tree"), l4_scores).alias("_l4"))
+        if self.literal:
+            by_path, by_label = self._literals
+            df = df.select(*plain, F.coalesce(by_path(_path_key("_k1", "_k2", "_k3")), by_label(F.col("_k3"))).alias("_tree"))
+        else:
+            tree, leaf = self.subtrees()
+            tree = tree.select(*[F.col(f"l{i}").alias(f"_k{i}") for i in (1, 2, 3)], "_tree")
+            leaf = leaf.select(F.col("l3").alias("_k3"), "_leaf_tree")
+            df = fence(df, "_k1", "_k2", "_k3")
+            df = df.join(small_side(tree, self.small), ["_k1", "_k2", "_k3"], "left")
+            df = df.join(small_side(leaf, self.small), ["_k3"], "left")
+            df = df.select(*plain, F.coalesce("_tree", "_leaf_tree").alias("_tree"))
+        df = df.select(*plain, best_option(F.col("_tree"), l4_scores).alias("_l4"))
         df = df.select(*plain, "_l4", best_option(F.col("_l4.children"), l5_scores).alias("_l5"))
         keep = [c for c in plain if c not in ("layer4", "layer5", "quality_param")]
         return df.select(*keep, F.coalesce("_l4.label", F.lit("")).alias("layer4"),

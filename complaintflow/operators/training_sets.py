@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from complaintflow.functions import lexicon as lx
 from complaintflow.functions.normalize import TextRules, normalize_text
 from complaintflow.functions.text import token_count
-from complaintflow.operators.joins import is_small, small_side
 
 TARGETS = {"layer1": "LAYER 1", "layer2": "LAYER 2", "layer3": "LAYER 3"}
 
@@ -54,57 +53,56 @@ def negative_only(labelled: DataFrame, row_id: str = "row") -> DataFrame:
 
 
 def label_index(df: DataFrame) -> DataFrame:
-    """(label, index) in sorted order, from the distinct labels only.
-
-    The position is the number of smaller labels, read off one sorted array of the classes.
-    """
-    labels = df.select("label").distinct()
-    ordered = labels.agg(F.sort_array(F.collect_list("label")).alias("a"))
-    return ordered.select(F.posexplode("a").alias("index", "label")).select("label", "index")
+    """(label, index) in sorted order. Only the distinct labels are ordered, one row per class."""
+    position = F.row_number().over(Window.orderBy("label")) - 1
+    return df.select("label").distinct().select("label", position.alias("index"))
 
 
-def stratified_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, slices: int = 256) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, slices: int = 4096) -> DataFrame:
     """Adds ``part`` (``train`` / ``test``): per class exactly ``round(share * n)`` test rows, those with
-    the smallest keyed hash; a class of one stays in train.
+    the smallest hash of ``key``; a class of one stays in train.
 
     Ranking a whole class in one window would put the largest class into one task. Instead the
-    hash range is cut into slices; counting rows per (class, slice) tells which slice holds the
-    cut, and only the rows of that slice are ranked.
+    hash range is cut into slices; the row counts per (class, slice) tell which slice holds the
+    last test row, and only that slice is ranked, to find the last hash that is still in test.
     """
+    prefix = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    hashed = hashed.withColumn("_slice", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
-    counts = hashed.groupBy("label", "_slice").agg(F.count("*").alias("_n"))
-    per_class = counts.groupBy("label").agg(F.sum("_n").alias("_total"), F.sort_array(
-        F.collect_list(F.struct("_slice", "_n"))).alias("_slices"))
-    quota = F.when(F.col("_total") > 1, F.round(F.col("_total") * test_share).cast("long")).otherwise(F.lit(0).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("left"))
+    hashed = hashed.withColumn("_slice", F.floor(prefix * slices / 65536).cast("int"))
+    counts = hashed.groupBy("label", "_slice").agg(F.count("*").alias("n"))
+    per_class = counts.groupBy("label").agg(
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("_slice", "n"))).alias("slices"))
+    per_class = per_class.withColumn("quota", F.when(
+        F.col("total") > 1, F.round(F.col("total") * test_share)).otherwise(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("seen"), F.lit(-1).alias("cut"), zero.alias("rest"))
 
     def walk(s, x):
-        hit = (s["cut"] < 0) & (s["seen"] + x["_n"] >= F.col("_quota")) & (F.col("_quota") > 0)
-        return F.struct((s["seen"] + x["_n"]).alias("seen"), F.when(hit, x["_slice"]).otherwise(s["cut"]).alias("cut"),
-                        F.when(hit, F.col("_quota") - s["seen"]).otherwise(s["left"]).alias("left"))
-
-    cuts = (per_class.withColumn("_quota", quota)
-            .select("label", F.aggregate("_slices", start, walk).alias("c"))
-            .select("label", F.col("c.cut").alias("_cut"), F.col("c.left").alias("_left")))
-    placed = hashed.join(small_side(cuts, is_small(cuts)), "label")
+        reached = (s["cut"] < 0) & (s["seen"] + x["n"] >= F.col("quota"))
+        return F.struct((s["seen"] + x["n"]).alias("seen"),
+                        F.when(reached, x["_slice"]).otherwise(s["cut"]).alias("cut"),
+                        F.when(reached, F.col("quota") - s["seen"]).otherwise(s["rest"]).alias("rest"))
+
+    cuts = (per_class.filter("quota > 0").select("label", F.aggregate("slices", start, walk).alias("c"))
+            .select("label", F.col("c.cut").alias("_slice"), F.col("c.rest").alias("_rest")))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", key))
-    inside = placed.filter(F.col("_slice") == F.col("_cut")).withColumn("_rank", rank)
-    inside = inside.withColumn("part", F.when(F.col("_rank") <= F.col("_left"), "test").otherwise("train")).drop("_rank")
-    outside = placed.filter(F.col("_slice") != F.col("_cut")).withColumn(
-        "part", F.when(F.col("_slice") < F.col("_cut"), "test").otherwise("train"))
-    return inside.unionByName(outside).select(*df.columns, "part")
+    last = (hashed.select("label", "_slice", "_h", key).join(cuts, ["label", "_slice"])
+            .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_rest"))
+            .select("label", F.struct("_h", F.col(key).alias("_key")).alias("_last")))
+    placed = hashed.join(last, "label", "left")
+    in_test = F.coalesce(F.struct("_h", F.col(key).alias("_key")) <= F.col("_last"), F.lit(False))
+    return placed.select(*df.columns, F.when(in_test, "test").otherwise("train").alias("part"))
 
 
 def class_weights(train: DataFrame) -> DataFrame:
-    """Balanced weights n / (k * n_c) per class."""
+    """Balanced weights n / (k * n_c) per class, from one aggregate; the totals run over the
+    per-class table."""
     counts = train.groupBy("label").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    classes = counts.agg(F.count("*").alias("k")).scalar()
-    return counts.select("label", "n", (total / (classes * F.col("n"))).alias("weight"))
+    every = Window.partitionBy()
+    weight = F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))
+    return counts.select("label", "n", weight.alias("weight"))
 
 
 def weighted(train: DataFrame) -> DataFrame:
     """Training rows with their class weight in ``weight``."""
-    w = class_weights(train).select("label", "weight")
-    return train.join(small_side(w, is_small(w)), "label")
+    return train.join(class_weights(train).select("label", "weight"), "label")

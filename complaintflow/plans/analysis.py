@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
-from complaintflow.functions.classify import keyword_confidence, layer1_vote, layer3_vote
+from complaintflow.functions.classify import keyword_confidence, keywords_found, layer1_vote, layer3_vote
 from complaintflow.functions.normalize import TextRules, normalize_text
 from complaintflow.functions.sentiment import SentimentRules, score_sentiment
-from complaintflow.functions.text import strip, token_count
+from complaintflow.functions.text import fence, strip, token_count
 from complaintflow.operators.scoring import overlay_labels, per_review
 from complaintflow.operators.taxonomy import Taxonomy
 from complaintflow.schemas import RECORD_COLUMNS
@@ -50,12 +50,14 @@ def with_layers(df: DataFrame, text: str = "normalized", where: Column | None =
     """Adds the keyword labels layer1..3, ``class_confidence`` and ``class_source``; the votes are
     only counted where ``where`` holds."""
     low = F.lower(F.col(text))
-    counted = F.lit(True) if where is None else where
-    df = df.select("*", F.when(counted, layer3_vote(low)).alias("_v3"), F.when(counted, layer1_vote(low)).alias("_v1"))
+    df = df.select("*", (low if where is None else F.when(where, low)).alias("_low"))
+    hits = keywords_found(F.col("_low"))
+    df = df.select("*", F.when(F.col("_low").isNotNull(), hits).alias("_hits"))
+    df = df.select("*", layer3_vote(F.col("_hits")).alias("_v3"), layer1_vote(F.col("_hits")).alias("_v1"))
     return df.select(
         "*", F.col("_v1.label").alias("layer1"), F.lit(lx.DEFAULT_L2).alias("layer2"),
         F.col("_v3.label").alias("layer3"), keyword_confidence(F.col("_v3.hits")).alias("class_confidence"),
-        F.lit(lx.SOURCE_KEYWORD).alias("class_source")).drop("_v1", "_v3")
+        F.lit(lx.SOURCE_KEYWORD).alias("class_source")).drop("_v1", "_v3", "_hits", "_low")
 
 
 def escalates(l1: Column, words: Column) -> Column:
@@ -107,7 +109,7 @@ def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = N
             f"dengan teks positif — terdeteksi sebagai '{lx.MISREAD_STAR}' (inkonsistensi rating vs konten).")))
         .otherwise(F.concat(F.lit("Negative complaint: "), F.col("_l1"), F.lit(" > "), F.col("_l3"),
                             F.when(F.col("layer4") != "", F.concat(F.lit(" > "), F.col("layer4"))).otherwise(""))))
-    return df.select(
+    record = df.select(
         *keep,
         F.col("normalized"),
         F.when(F.col("_rescued"), lx.POS_LABEL).otherwise(sentiment).alias("sentiment"),
@@ -120,6 +122,7 @@ def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = N
         F.when(misread, F.round(F.least(sconf, F.lit(0.85)), 3)).when(complaint, F.round(F.least(sconf, cconf), 3))
         .otherwise(F.round(sconf, 3)).alias("confidence"),
         reason.alias("reason"))
+    return fence(record, *[c for c in RECORD_COLUMNS if c != "normalized"])
 
 
 def long_enough(text: Column) -> Column:

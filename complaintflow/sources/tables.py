@@ -16,8 +16,15 @@ MAX_DICTIONARY_ROWS = 100_000
 
 
 # --------------------------------------------------------------------------- readers
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than the cluster has cores is spread over them, since text
+    work costs far more than moving the rows once. With more splits nothing happens."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REVIEWS).parquet(path)
+    return spread(spark.read.schema(schemas.REVIEWS).parquet(path))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +56,12 @@ def dictionary(pairs: DataFrame, key: str = "token", value: str = "replacement")
 
 
 def read_taxonomy(spark: SparkSession, path: str | None) -> DataFrame:
-    """Rows of a JSON array file with ``ord`` as the source order; no rows when there is no file."""
+    """Rows of a JSON array file with ``ord`` as the source order; no rows when there is no file.
+    A folder is read as JSON lines that carry their own ``ord``, split over tasks as usual."""
     if path is None or not _exists(spark, path):
         return spark.createDataFrame([], "ord long, " + schemas.TAXONOMY)
+    if _is_folder(spark, path):
+        return spark.read.schema("ord long, " + schemas.TAXONOMY).json(path)
     text = spark.read.text(path, wholetext=True)
     rows = F.from_json(F.col("value"), f"array<struct<{_as_struct(schemas.TAXONOMY)}>>")
     return text.select(F.posexplode(rows).alias("ord", "r")).select(F.col("ord").cast("long").alias("ord"), "r.*")
@@ -85,8 +95,18 @@ def _as_struct(ddl: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.getFileStatus(hadoop_path).isDirectory()
+
+
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
 
 
 # --------------------------------------------------------------------------- writers
@@ -108,14 +128,18 @@ def append_results(rows: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("analyzed_on").parquet(path))
 
 
+# quotes doubled, blanks at the ends of texts kept
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_training_sets(targets: DataFrame, negative: DataFrame, path: str) -> None:
     """One CSV folder per target: a single partitioned write for the layers, one for sentiment."""
     (targets.select(F.concat(F.lit("data_"), "target").alias("target"), "text", "label")
-     .write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("target").csv(f"{path}/layers"))
+     .write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("target").csv(f"{path}/layers"))
     write_csv(negative.select("text", "label"), f"{path}/data_sentiment_neg_only")
 
 
