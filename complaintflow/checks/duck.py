@@ -91,7 +91,7 @@ PART_TAXONOMY = """taxonomy AS (
   FROM part)"""
 
 ORDER_PATHS = """paths AS (
-  SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey, l_linenumber, p_type AS l1,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey, l_linenumber, p_type AS l1,
     'Brand#' || (1 + l_suppkey % 25) AS l2, split_part(p_name, ' ', 1) AS l3, split_part(p_name, ' ', 2) AS l4,
     'size ' || (l_suppkey % 6) AS l5
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""

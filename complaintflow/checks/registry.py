@@ -986,7 +986,7 @@ def _(s, d):
     base = tables.scratch_path(s, "ingest")
     incremental.seed_store(v.reviews(s, d).filter("cast(substring(id, 2) as long) % 3 = 0"), f"{base}/store")
     raw = v.raw_feed(s, d)
-    raw.drop("arrival").withColumn("seq", F.col("arrival")).repartition(4, "review_id").write.parquet(f"{base}/in")
+    raw.withColumnRenamed("arrival", "seq").repartition(4, "review_id").write.parquet(f"{base}/in")
     stream = s.readStream.schema(s.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     incremental.ingest_stream(stream, f"{base}/store", f"{base}/checkpoint", F.col("seq"), max_rating=3).awaitTermination()
     return incremental.stored_reviews(s, f"{base}/store").select("id", "username", "review_text", "rating", "review_date", "app_version")

@@ -153,7 +153,7 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name")
     return line.join(part, "l_partkey").selectExpr(
-        "concat(l_orderkey, '-', l_linenumber) AS id", "l_orderkey", "l_linenumber", "p_type AS l1",
+        "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id", "l_orderkey", "l_linenumber", "p_type AS l1",
         "concat('Brand#', 1 + l_suppkey % 25) AS l2", "split_part(p_name, ' ', 1) AS l3",
         "split_part(p_name, ' ', 2) AS l4", "concat('size ', l_suppkey % 6) AS l5")
 
