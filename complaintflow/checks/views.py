@@ -150,7 +150,7 @@ def part_taxonomy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths asked for by order lines; the brand comes from the supplier, so many are unknown."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name")
     return line.join(part, "l_partkey").selectExpr(
         "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id", "l_orderkey", "l_linenumber", "p_type AS l1",

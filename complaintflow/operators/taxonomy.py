@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import cached_property
 
 
@@ -45,15 +44,42 @@ class Taxonomy:
         return is_small(self.rows)
 
     @cached_property
+    def _known_rows(self) -> list | None:
+        """The rows themselves while there are at most ``literal_rows`` of them."""
+        rows = self.rows.select("ord", *LEVELS, "param").limit(self.literal_rows + 1).collect()
+        return rows if len(rows) <= self.literal_rows else None
+
+    @property
     def literal(self) -> bool:
-        return is_small(self.rows, self.literal_rows)
+        return self.literal_rows > 0 and self._known_rows is not None
 
     @cached_property
     def _literals(self):
-        tree, leaf = self.subtrees()
-        paths = tree.select(_path_key("l1", "l2", "l3"), F.to_json("_tree")).collect()
-        labels = leaf.select("l3", F.to_json("_leaf_tree")).collect()
-        return tuple(lookup({k: json.loads(v) for k, v in rows}, TREE_TYPE) for rows in (paths, labels))
+        """``subtrees`` of a small taxonomy as two lookups, without running jobs for them."""
+        below: dict[tuple, set] = {}
+        below_label: dict[str, set] = {}
+        last_param: dict[tuple, str] = {}
+        for r in sorted(self._known_rows, key=lambda r: r["ord"]):
+            path = tuple(r[c] for c in LEVELS)
+            for depth in (4, 5):
+                if all(path[:depth]):
+                    below.setdefault(path[: depth - 1], set()).add(path[depth - 1])
+            if all(path):
+                below_label.setdefault(path[3], set()).add(path[4])
+            if all(path) and r["param"]:
+                last_param[path] = last_param[path[4:]] = r["param"]
+
+        def node(path: tuple) -> dict:
+            children = below.get(path) or below_label.get(path[3], ())
+            return {"label": path[3], "children": [
+                {"label": c, "param": last_param.get((*path, c)) or last_param.get((c,), "")} for c in sorted(children)]}
+
+        by_path = {"".join(f"{x}\x1f" for x in path): [node((*path, c)) for c in sorted(options)]
+                   for path, options in below.items() if len(path) == 3}
+        by_label = {path[2]: [node((None, None, path[2], c)) for c in sorted(
+            {c for q, options in below.items() if len(q) == 3 and q[2] == path[2] for c in options})]
+            for path in below if len(path) == 3}
+        return lookup(by_path, TREE_TYPE), lookup(by_label, TREE_TYPE)
 
     # ----------------------------------------------------------------- option sets
     def options(self, level: int) -> DataFrame:
@@ -145,9 +171,9 @@ class Taxonomy:
         by_path = self.with_options(full, 5, "_l5").select("l1", "l2", "l3", "l4", F.explode_outer("_l5").alias("l5"))
         by_path = self.with_parameter(by_path)
         by_label = full.select("l3", "l4").distinct().join(
-            self.leaf_options(5).withColumnRenamed("options", "_l5"), "l4", "left")
+            small_side(self.leaf_options(5).withColumnRenamed("options", "_l5"), self.small), "l4", "left")
         by_label = by_label.select("l3", "l4", F.explode_outer("_l5").alias("l5")).join(
-            self.leaf_parameters(), "l5", "left")
+            small_side(self.leaf_parameters(), self.small), "l5", "left")
 
         def fold(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
             child = F.struct(F.col("l5").alias("label"), F.coalesce("param", F.lit("")).alias("param"))

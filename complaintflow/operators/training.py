@@ -19,7 +19,7 @@ CANDIDATES = ({"regParam": 0.01, "maxIter": 20}, {"regParam": 0.1, "maxIter": 20
 
 def classifier(reg_param: float, max_iter: int, features: int = 1 << 14) -> Pipeline:
     return Pipeline(stages=[
-        StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"),
         Tokenizer(inputCol="text", outputCol="words"),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
@@ -31,11 +31,16 @@ def class_names(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def apply_model(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The model without its label indexer, so rows need no label and may have an unseen one."""
+    return PipelineModel(model.stages[1:]).transform(rows)
+
+
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """(actual, predicted) label names."""
     names = F.lit(class_names(model))
-    scored = model.transform(rows)
-    return scored.select(F.col("label").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+    return apply_model(model, rows).select(
+        F.col("label").alias("actual"), F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
 
 def train_best(train: DataFrame, test: DataFrame, candidates: Sequence[dict] = CANDIDATES,
@@ -59,6 +64,5 @@ def train_best(train: DataFrame, test: DataFrame, candidates: Sequence[dict] = C
 def score_rows(model: PipelineModel, rows: DataFrame, target: str, key: str = "id") -> DataFrame:
     """(review_id, target, ord, label, score): class probabilities as a score table."""
     names = F.lit(class_names(model))
-    scored = model.transform(rows.withColumn("label", F.lit(None).cast("string")).withColumn("weight", F.lit(1.0)))
-    each = scored.select(F.col(key).alias("review_id"), F.posexplode(vector_to_array("probability")).alias("ord", "score"))
+    each = apply_model(model, rows).select(F.col(key).alias("review_id"), F.posexplode(vector_to_array("probability")).alias("ord", "score"))
     return each.select("review_id", F.lit(target).alias("target"), "ord", F.get(names, F.col("ord")).alias("label"), "score")
