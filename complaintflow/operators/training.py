@@ -53,10 +53,10 @@ def train_best(train: DataFrame, test: DataFrame, candidates: Sequence[dict] = C
         for c in candidates:
             model = classifier(c["regParam"], c["maxIter"], features).fit(rows)
             metrics = summary(confusion_cells(predictions(model, test)))
-            f1 = metrics.first()["macro_f1"]
-            if best is None or f1 > best[0]:
-                best = (f1, model, metrics)
-        return best[1], best[2]
+            row = metrics.first()
+            if best is None or row["macro_f1"] > best[1]["macro_f1"]:
+                best = (model, row, metrics.schema)
+        return best[0], train.sparkSession.createDataFrame([best[1]], best[2])
     finally:
         rows.unpersist()
 
