@@ -638,7 +638,8 @@ def _(s, d):
 @query("q5_recent_results", f"""WITH {k.FEED} SELECT {k.FEED_COLUMNS} FROM feed WHERE sentiment = 'Negatif' AND layer1 = 'APLIKASI'
   AND rating = 2 ORDER BY analyzed_at DESC, result_id LIMIT 200""")
 def _(s, d):
-    return reporting.recent_results(_feed(s, d), 500, sentiment="Negatif", layer1="APLIKASI", rating="2", layer5=None)
+    return reporting.recent_results(v.reviews(s, d), v.results(s, d), reporting.current_flags(v.flag_events(s, d)), 500,
+                                    sentiment="Negatif", layer1="APLIKASI", rating="2", layer5=None)
 
 
 @query("q6_all_results", f"WITH {k.FEED} SELECT {k.FEED_COLUMNS} FROM feed WHERE layer1 = 'LAYANAN'")
@@ -681,12 +682,12 @@ _PAGE = f"""WITH {_RR}, rows AS (SELECT id, username, review_text, rating, revie
 
 @query("q8_raw_page", _PAGE.format(where="rating = 2 AND id NOT IN (SELECT review_id FROM results)", per=25, off=25))
 def _(s, d):
-    return reporting.raw_page(reporting.raw_reviews(v.reviews(s, d), v.results(s, d), rating=2, analyzed=False), 2, 25)
+    return reporting.raw_page(v.reviews(s, d), v.results(s, d), 2, 25, rating=2, analyzed=False)
 
 
 @query("q9_search", _PAGE.format(where="review_text ILIKE '%PLN_mob%'", per=200, off=0))
 def _(s, d):
-    return reporting.raw_page(reporting.raw_reviews(v.reviews(s, d), v.results(s, d), term="PLN_mob"), 1, 500)
+    return reporting.raw_page(v.reviews(s, d), v.results(s, d), 1, 500, term="PLN_mob")
 
 
 @query("q10_display_date", f"""WITH {k.RAW_FEED} SELECT coalesce(strftime("at", '%Y-%m-%d'), '-') AS shown_date, count(*) AS n FROM raw GROUP BY ALL""")

@@ -119,11 +119,19 @@ def pending(reviews: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def pending_queue(reviews: DataFrame, results: DataFrame, limit: int = 50) -> DataFrame:
-    """The latest-scraped pending reviews, id as tie-breaker; planned as a top-k."""
-    return pending(reviews, results).orderBy(F.col("scraped_at").desc(), F.col("id")).limit(min(limit, MAX_QUEUE))
+    """The latest-scraped pending reviews, id as tie-breaker, at most 5000.
+
+    The anti join and the top-k see keys and times only; the texts are looked up afterwards for
+    the rows that were chosen, which are few enough to broadcast.
+    """
+    limit = min(limit, MAX_QUEUE)
+    chosen = (pending(reviews.select("id", "scraped_at"), results)
+              .orderBy(F.col("scraped_at").desc(), F.col("id")).limit(limit).select("id"))
+    return (reviews.join(F.broadcast(chosen), "id", "left_semi")
+            .orderBy(F.col("scraped_at").desc(), F.col("id")).limit(limit))
 
 
 def pending_count(reviews: DataFrame, results: DataFrame) -> DataFrame:
     """The count as reported (a list of at most 5000) and the whole count."""
-    return pending(reviews, results).agg(F.count("*").alias("total")).select(
+    return pending(reviews.select("id"), results).agg(F.count("*").alias("total")).select(
         F.least(F.col("total"), F.lit(MAX_QUEUE)).alias("pending_count"), F.col("total").alias("pending_total"))

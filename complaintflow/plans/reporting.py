@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from complaintflow.operators.joins import small_or_whole
+
 
 MAX_LIST = 200
 RESULT_COLUMNS = [
@@ -69,16 +71,20 @@ def unknown_flags(flag_events: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def result_feed(reviews: DataFrame, results: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """The 25-column view over results, reviews and current flags behind lists and exports."""
-    r = reviews.select(F.col("id").alias("review_id"), "username", "review_text", "rating", "review_date")
-    feed = results.select("result_id", "review_id", *RESULT_COLUMNS).join(r, "review_id")
+    """The 25-column view over results, reviews and current flags behind lists and exports.
+
+    Flags are joined before the review texts, so the texts take part in one join only.
+    """
+    feed = results.select("result_id", "review_id", *RESULT_COLUMNS)
     if flags is None:
         feed = feed.select("*", F.lit(False).alias("flagged"), F.lit(None).cast("string").alias("flag_note"),
                            F.lit(None).cast("timestamp_ntz").alias("flagged_at"))
     else:
         feed = feed.join(flags, "result_id", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
-    return feed.select("result_id", "review_id", "username", "review_text", "rating", "review_date",
-                       *RESULT_COLUMNS, "flagged", "flag_note", "flagged_at")
+    r = reviews.select(F.col("id").alias("review_id"), "username", "review_text", "rating", "review_date")
+    return feed.join(r, "review_id").select(
+        "result_id", "review_id", "username", "review_text", "rating", "review_date",
+        *RESULT_COLUMNS, "flagged", "flag_note", "flagged_at")
 
 
 def filtered(feed: DataFrame, **equal: object) -> DataFrame:
@@ -89,10 +95,24 @@ def filtered(feed: DataFrame, **equal: object) -> DataFrame:
     return feed
 
 
-def recent_results(feed: DataFrame, limit: int = 50, **equal: object) -> DataFrame:
-    """The newest results under the filters, at most 200; planned as a top-k."""
-    return (filtered(feed, **equal).orderBy(F.col("analyzed_at").desc(), F.col("result_id"))
-            .limit(min(limit, MAX_LIST)))
+def recent_results(reviews: DataFrame, results: DataFrame, flags: DataFrame | None = None, limit: int = 50,
+                   **equal: object) -> DataFrame:
+    """The newest results under the filters, at most 200, in the shape of ``result_feed``.
+
+    The top-k runs over keys and filter columns; texts and flags are looked up for the chosen
+    results only, which are few enough to broadcast.
+    """
+    limit = min(limit, MAX_LIST)
+    by_result = {n: x for n, x in equal.items() if n != "rating"}
+    narrow = filtered(results, **by_result).select("result_id", "review_id", "analyzed_at")
+    rated = filtered(reviews, rating=equal.get("rating")).select(F.col("id").alias("review_id"))
+    chosen = (narrow.join(rated, "review_id", "left_semi")
+              .orderBy(F.col("analyzed_at").desc(), F.col("result_id")).limit(limit))
+    chosen = small_or_whole(chosen)
+    rows = results.join(F.broadcast(chosen.select("result_id")), "result_id", "left_semi")
+    wanted = reviews.join(F.broadcast(chosen.select(F.col("review_id").alias("id"))), "id", "left_semi")
+    return (result_feed(wanted, rows, flags).orderBy(F.col("analyzed_at").desc(), F.col("result_id"))
+            .limit(limit))
 
 
 def all_results(feed: DataFrame, sentiment: str | None = None, layer1: str | None = None) -> DataFrame:
@@ -150,28 +170,34 @@ def display_date(date: Column) -> Column:
 
 def raw_reviews(reviews: DataFrame, results: DataFrame, rating: int | None = None, term: str = "",
                 analyzed: bool | None = None) -> DataFrame:
-    """Reviews under the page filters, with the derived ``analyzed`` mark."""
+    """Reviews under the page filters. Being analysed is derived from the results."""
     rows = reviews.select("id", "username", "review_text", "rating", "review_date")
     if rating:
         rows = rows.filter(F.col("rating") == int(rating))
     if term:
         rows = rows.filter(search(F.col("review_text"), term))
-    done = results.select(F.col("review_id").alias("id")).distinct()
-    if analyzed is None:
-        rows = rows.join(done.withColumn("analyzed", F.lit(True)), "id", "left")
-        return rows.withColumn("analyzed", F.coalesce("analyzed", F.lit(False)))
-    kind = "left_semi" if analyzed else "left_anti"
-    return rows.join(done, "id", kind).withColumn("analyzed", F.lit(analyzed))
+    if analyzed is not None:
+        done = results.select(F.col("review_id").alias("id"))
+        rows = rows.join(done, "id", "left_semi" if analyzed else "left_anti")
+    return rows
 
 
-def raw_page(rows: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
-    """One page, newest first with the id as tie-breaker, plus total and number of pages.
+def raw_page(reviews: DataFrame, results: DataFrame, page: int = 1, per_page: int = 25, rating: int | None = None,
+             term: str = "", analyzed: bool | None = None) -> DataFrame:
+    """One page, newest first with the id as tie-breaker, plus ``analyzed``, total and pages.
 
-    The total is a scalar subquery over the same filters, not a window over all rows.
+    The total is a scalar subquery over the same filters, not a window over all rows, and the
+    ``analyzed`` mark is looked up for the rows of the page only (200 at most).
     """
     page, per_page = max(page, 1), min(per_page, MAX_LIST)
+    rows = raw_reviews(reviews, results, rating, term, analyzed)
     total = rows.agg(F.count("*").alias("n")).scalar()
     shown = (rows.orderBy(F.col("review_date").desc(), F.col("id"))
              .offset((page - 1) * per_page).limit(per_page))
-    return shown.select("*", display_date(F.col("review_date")).alias("shown_date"), total.alias("total"),
-                        F.greatest(F.lit(1), F.ceil(total / F.lit(per_page))).cast("long").alias("total_pages"))
+    shown = small_or_whole(shown)
+    done = results.select(F.col("review_id").alias("id")).join(F.broadcast(shown.select("id")), "id", "left_semi")
+    marked = shown.join(done.distinct().withColumn("analyzed", F.lit(True)), "id", "left").withColumn("total", total)
+    return marked.select(
+        "id", "username", "review_text", "rating", "review_date", F.coalesce("analyzed", F.lit(False)).alias("analyzed"),
+        display_date(F.col("review_date")).alias("shown_date"), "total",
+        F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("total_pages"))

@@ -91,9 +91,11 @@ def test_flags_and_lists(spark):
     feed = reporting.result_feed(reviews, results, reporting.current_flags(events))
     assert len(feed.columns) == 25
     assert len(reporting.export_table(feed).columns) == 17
-    assert reporting.recent_results(feed, 1000).count() == 200
-    text = plan(reporting.recent_results(feed, 10, sentiment="Negatif", rating="2"))
+    assert reporting.recent_results(reviews, results, None, 1000).count() == 200
+    text = plan(reporting.recent_results(reviews, results, None, 10, sentiment="Negatif", rating="2"))
     assert "TakeOrderedAndProject" in text and "Cartesian" not in text
+    # the chosen keys are local rows by now; the wide tables are only probed
+    assert "LocalTableScan" in text and "BroadcastHashJoin" in text
 
 
 def test_drill_down_levels_add_up(spark):
@@ -104,9 +106,9 @@ def test_drill_down_levels_add_up(spark):
 
 def test_empty_page(spark):
     d = "/root/testdata/sf0.001"
-    rows = reporting.raw_reviews(views.reviews(spark, d), views.results(spark, d), term="no such text at all")
-    assert reporting.raw_page(rows).count() == 0
-    page = reporting.raw_page(reporting.raw_reviews(views.reviews(spark, d), views.results(spark, d)), 0, 7).collect()
+    reviews, results = views.reviews(spark, d), views.results(spark, d)
+    assert reporting.raw_page(reviews, results, term="no such text at all").count() == 0
+    page = reporting.raw_page(reviews, results, 0, 7).collect()
     assert len(page) == 7 and page[0]["total_pages"] == -(-page[0]["total"] // 7)
 
 
