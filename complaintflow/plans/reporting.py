@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from complaintflow.operators.joins import small_or_whole
 
-
 MAX_LIST = 200
 RESULT_COLUMNS = [
     "normalized_text", "sentiment", "sentiment_confidence", "is_complaint", "category", "subcategory",
