@@ -172,29 +172,30 @@ def _replace_tokens(tok: Column, key: Column, single: Mapping[str, str], pair: M
 
 
 def _over_tokens(df: DataFrame, col: str, out: str, build) -> DataFrame:
-    """Split ``col`` into tokens and keys once, as columns, and build ``out`` from them."""
+    """Split ``col`` into tokens and keys once, as columns, and build ``out`` from text, tokens
+    and keys."""
     base = [c for c in df.columns if c != out]
-    staged = df.select(*df.columns, F.split(F.col(col), " ").alias("_tok"),
+    staged = df.select(*base, F.col(col).alias("_text"), F.split(F.col(col), " ").alias("_tok"),
                        F.split(bare(F.col(col)), " ").alias("_key"))
-    return staged.select(*base, build(F.col("_tok"), F.col("_key")).alias(out))
+    return staged.select(*base, build(F.col("_text"), F.col("_tok"), F.col("_key")).alias(out))
 
 
 def apply_slang(df: DataFrame, col: str, out: str, rules: TextRules = TextRules()) -> DataFrame:
     """Slang pairs, fillers and single slang words over a text with single blanks."""
     single = {**{k: v for k, v in rules.slang.items() if " " not in k}, **{f: "" for f in rules.fillers}}
-    return _over_tokens(df, col, out, lambda t, k: squeeze(_replace_tokens(t, k, single, rules.slang)))
+    return _over_tokens(df, col, out, lambda _, t, k: squeeze(_replace_tokens(t, k, single, rules.slang)))
 
 
 def apply_stems(df: DataFrame, col: str, out: str, rules: TextRules) -> DataFrame:
     find = lookup(eligible_stems(rules.stems, rules.no_stem, rules.acronyms))
     return _over_tokens(
-        df, col, out, lambda t, k: F.array_join(F.zip_with(t, k, lambda a, b: F.coalesce(find(b), a)), " "))
+        df, col, out, lambda _, t, k: F.array_join(F.zip_with(t, k, lambda a, b: F.coalesce(find(b), a)), " "))
 
 
 def restore_acronyms(df: DataFrame, col: str, out: str, rules: TextRules = TextRules()) -> DataFrame:
     find = lookup({a: a.upper() for a in rules.acronyms})
     return _over_tokens(
-        df, col, out, lambda t, k: F.array_join(F.zip_with(t, k, lambda a, b: F.coalesce(find(b), a)), " "))
+        df, col, out, lambda _, t, k: F.array_join(F.zip_with(t, k, lambda a, b: F.coalesce(find(b), a)), " "))
 
 
 def normalize_text(df: DataFrame, col: str, out: str = "normalized", rules: TextRules = TextRules()) -> DataFrame:
@@ -204,8 +205,32 @@ def normalize_text(df: DataFrame, col: str, out: str = "normalized", rules: Text
     """
     base = [c for c in df.columns if c != out]
     cleaned = clean_text(df, col, "_clean")
-    replaced = _over_tokens(
-        cleaned, "_clean", "_words",
-        lambda t, k: F.trim(F.regexp_replace(
-            _replace_tokens(t, k, rules.single_word_table(), rules.pair_table()), " {2,}", " ")))
-    return fence(replaced.select(*base, capitalise(F.col("_words")).alias(out)), out)
+    single, pair = rules.single_word_table(), rules.pair_table()
+
+    def replaced(whole: Column, tok: Column, key: Column) -> Column:
+        done = F.trim(F.regexp_replace(_replace_tokens(tok, key, single, pair), " {2,}", " "))
+        if any(" " in k for k in pair):
+            return done
+        # a text with no key at all stays as it is; this also covers pairs, which need one key
+        return F.when(F.arrays_overlap(key, F.lit([*single, *pair])), done).otherwise(whole)
+
+    words = _over_tokens(cleaned, "_clean", "_words", replaced)
+    return fence(words.select(*base, capitalise(F.col("_words")).alias(out)), out)
+
+
+def apply_stem_table(df: DataFrame, key: str, col: str, out: str, stems: DataFrame,
+                     rules: TextRules = TextRules()) -> DataFrame:
+    """``apply_stems`` for a stem table (token, stem) of any size: one row per token, an equality
+    join, and the texts put together again per ``key``. Only for tables too large for a literal."""
+    blocked = [*rules.no_stem, *rules.acronyms]
+    usable = stems.filter(
+        ~F.col("token").isin(blocked) & ~F.col("token").rlike(r"^\p{Nd}+$") & (F.length("token") > 4)
+        & (F.length("stem") >= 3) & (F.length("stem") < F.length("token"))
+    ).groupBy("token").agg(F.max("stem").alias("stem"))
+    text = F.col(col)
+    pairs = F.arrays_zip(F.split(text, " ").alias("t"), F.split(bare(text), " ").alias("k"))
+    each = df.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", "p.t", F.col("p.k").alias("token"))
+    word = F.struct("pos", F.coalesce("stem", "t").alias("w"))
+    whole = each.join(usable, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(word)).alias("_w"))
+    joined = whole.select(key, F.array_join(F.col("_w.w"), " ").alias("_out"))
+    return df.join(joined, key, "left").select(*[c for c in df.columns if c != out], F.col("_out").alias(out))

@@ -23,6 +23,7 @@ WHITESPACE = (
 
 # A dictionary becomes a literal inside the plan; beyond this it must be joined instead.
 MAX_LITERAL_ENTRIES = 100_000
+MAX_SET_ENTRIES = 2_000
 
 
 def strip(c: Column) -> Column:
@@ -113,7 +114,15 @@ def lookup(pairs: Mapping[str, object], value_type: str = "string") -> Callable[
     for k, v in pairs.items():
         buckets[zlib.crc32(k.encode("utf-8")) % n][k] = v
     table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{value_type}>>")
-    return lambda c: F.get(table, (F.crc32(c.cast("binary")) % n).cast("int"))[c]
+
+    def find(c: Column) -> Column:
+        return F.get(table, (F.crc32(c.cast("binary")) % n).cast("int"))[c]
+
+    if not 0 < len(pairs) <= MAX_SET_ENTRIES:
+        return find
+    # most tokens are in no dictionary, and a set test rejects them at a fraction of the cost
+    keys = list(pairs)
+    return lambda c: F.when(c.isin(keys), find(c))
 
 
 def fence(df: DataFrame, *cols: str) -> DataFrame:

@@ -125,3 +125,12 @@ def test_lookup_of_many_entries(spark):
     find = tx.lookup(pairs)
     got = spark.range(0, 4000).select(find(F.concat(F.lit("k"), "id", F.lit("é"))).alias("o"), "id").collect()
     assert all(r["o"] == pairs.get(f"k{r['id']}é") for r in got)
+
+
+def test_stem_table_equals_stem_literal(spark):
+    stems = {"membantu": "bantu", "pembayaran": "bayar", "aplikasinya": "aplikasi", "12345": "123", "masuk": "msk", "kaki": "kak"}
+    df = texts(spark, ["membantu, (aplikasinya) pembayaran masuk", "x", "", "membantu membantu 12345 kaki"])
+    table = spark.createDataFrame(list(stems.items()), "token string, stem string")
+    joined = nz.apply_stem_table(df, "i", "t", "o", table)
+    assert results(joined) == results(nz.apply_stems(df, "t", "o", nz.TextRules(stems=stems)))
+    assert results(joined)[0] == "bantu aplikasi pembayaran masuk"
