@@ -36,7 +36,7 @@ REVIEWS = f"""reviews AS (
 RAW_FEED = """raw AS (
   SELECT CASE WHEN doc_id % 31 = 0 THEN '' WHEN doc_id % 37 = 0 THEN NULL ELSE 'r' || doc_id END AS review_id,
     source AS user_name,
-    CASE WHEN doc_id % 13 = 0 THEN substring(text, 1, doc_id % 12) WHEN doc_id % 43 = 0 THEN NULL
+    CASE WHEN doc_id % 13 = 0 THEN source WHEN doc_id % 43 = 0 THEN NULL
       ELSE text || ' ' || copy END AS content,
     CAST(nullif((doc_id // 3) % 6, 0) AS INTEGER) AS score,
     CASE WHEN doc_id % 29 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_hours(doc_id % 2000) END AS "at",
@@ -117,17 +117,17 @@ OPTIONS = """
 MODEL_SCORES = """scores AS (
   SELECT 'r' || doc_id AS review_id, 'sentiment' AS target, o AS ord, 'LABEL_' || o AS label,
     (doc_id * [7, 11, 13][o + 1]) % 100 / 100.0::DOUBLE AS score
-  FROM documents, (VALUES (0), (1), (2)) t(o) WHERE doc_id % 3 <> 0
+  FROM documents, (VALUES (0), (1), (2)) t(o) WHERE lang <> 'de'
   UNION ALL
-  SELECT 'r' || doc_id, t, 0, CASE WHEN t = 'layer1' THEN CASE WHEN doc_id % 8 = 1 THEN 'LAYANAN' ELSE 'APLIKASI' END
-      ELSE CASE WHEN doc_id % 12 = 1 THEN 'Pengaduan' WHEN doc_id % 12 = 5 THEN '' ELSE 'Token & Pembayaran' END END,
+  SELECT 'r' || doc_id, t, 0, CASE WHEN t = 'layer1' THEN CASE WHEN doc_id % 2 = 1 THEN 'LAYANAN' ELSE 'APLIKASI' END
+      ELSE CASE WHEN doc_id % 3 = 1 THEN 'Pengaduan' WHEN doc_id % 7 = 5 THEN '' ELSE 'Token & Pembayaran' END END,
     (doc_id * 3) % 100 / 100.0::DOUBLE
-  FROM documents, (VALUES ('layer1'), ('layer3')) t(t) WHERE doc_id % 4 = 1
+  FROM documents, (VALUES ('layer1'), ('layer3')) t(t) WHERE lang IN ('en', 'es')
   UNION ALL
   SELECT 'r' || doc_id, CASE WHEN o < 4 THEN 'layer4' ELSE 'layer5' END, o,
     ['Gagal Bayar', 'Token Tidak Masuk', 'Padam', 'Respon Petugas', 'Padam Meluas', 'Padam Rumah', 'Saldo Terpotong',
      'Metode Ditolak', 'not in the taxonomy'][o + 1], (doc_id * (o + 2)) % 100 / 100.0::DOUBLE
-  FROM documents, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) t(o) WHERE doc_id % 5 <> 2)"""
+  FROM documents, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) t(o) WHERE lang <> 'fr')"""
 
 _raw_label = "[" + ", ".join(arr(r) for r in RAW_LABELS) + "]"
 LABELLED = f"""labelled AS (

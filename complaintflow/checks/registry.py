@@ -199,10 +199,9 @@ def _(s, d):
 @query("i7_insert_or_ignore", f"""WITH {k.RAW_FEED}, rows AS (SELECT {_SHAPE},
     row_number() OVER (PARTITION BY review_id ORDER BY arrival) AS rn FROM raw
     WHERE content IS NOT NULL AND coalesce(review_id, '') <> '')
-  SELECT * EXCLUDE (rn) FROM rows WHERE rn = 1 AND id NOT IN (SELECT 'r' || doc_id FROM documents WHERE doc_id % 3 = 0)""")
+  SELECT * EXCLUDE (rn) FROM rows WHERE rn = 1 AND id NOT IN (SELECT 'r' || doc_id FROM labels)""")
 def _(s, d):
-    stored = v.reviews(s, d).filter("cast(substring(id, 2) as long) % 3 = 0")
-    return ingest.new_reviews(ingest.to_reviews(v.raw_feed(s, d)), stored)
+    return ingest.new_reviews(ingest.to_reviews(v.raw_feed(s, d)), v.stored_reviews(s, d))
 
 
 _PENDING = f"{k.REVIEWS}, {k.RESULTS}, pending AS (SELECT * FROM reviews WHERE id NOT IN (SELECT review_id FROM results))"
@@ -980,12 +979,12 @@ def _(s, d):
 @query("x1_incremental_ingest", f"""WITH {k.RAW_FEED}, fresh AS (SELECT {_SHAPE}, row_number() OVER (PARTITION BY review_id ORDER BY arrival) AS rn
     FROM raw WHERE {_PASS})
   SELECT id, username, review_text, rating, review_date, app_version FROM fresh
-    WHERE rn = 1 AND id NOT IN (SELECT 'r' || doc_id FROM documents WHERE doc_id % 3 = 0)
+    WHERE rn = 1 AND id NOT IN (SELECT 'r' || doc_id FROM labels)
   UNION ALL SELECT id, username, review_text, rating, review_date, app_version FROM (WITH {k.REVIEWS} SELECT * FROM reviews)
-    WHERE CAST(substring(id, 2) AS BIGINT) % 3 = 0""")
+    WHERE id IN (SELECT 'r' || doc_id FROM labels)""")
 def _(s, d):
     base = tables.scratch_path(s, "ingest")
-    incremental.seed_store(v.reviews(s, d).filter("cast(substring(id, 2) as long) % 3 = 0"), f"{base}/store")
+    incremental.seed_store(v.stored_reviews(s, d), f"{base}/store")
     raw = v.raw_feed(s, d)
     raw.withColumnRenamed("arrival", "seq").repartition(4, "review_id").write.parquet(f"{base}/in")
     stream = s.readStream.schema(s.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")

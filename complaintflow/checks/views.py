@@ -93,7 +93,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select(
         F.expr("CASE WHEN doc_id % 31 = 0 THEN '' WHEN doc_id % 37 = 0 THEN NULL ELSE concat('r', doc_id) END").alias("review_id"),
         F.col("source").alias("user_name"),
-        F.expr("CASE WHEN doc_id % 13 = 0 THEN substring(text, 1, cast(doc_id % 12 as int)) WHEN doc_id % 43 = 0 THEN NULL "
+        F.expr("CASE WHEN doc_id % 13 = 0 THEN source WHEN doc_id % 43 = 0 THEN NULL "
                "ELSE concat(text, ' ', copy) END").alias("content"),
         F.expr("cast(nullif((doc_id div 3) % 6, 0) as int)").alias("score"),
         F.expr("CASE WHEN doc_id % 29 = 0 THEN NULL ELSE timestamp_ntz'2024-01-01 00:00:00' "
@@ -103,6 +103,12 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("doc_id * 2 + copy").alias("arrival"))
 
 
+def stored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews known from before: those whose document has a label."""
+    known = table(spark, sf_dir, "labels").select(F.concat(F.lit("r"), F.col("doc_id")).alias("id"))
+    return reviews(spark, sf_dir).join(known, "id", "left_semi")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results, one per event; a review has up to nine of them, some have no review."""
     e = table(spark, sf_dir, "events")
@@ -160,19 +166,19 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows per review as a model would give them; some reviews and targets have none."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('r', doc_id) AS review_id")
-    sentiment = docs.filter("doc_id % 3 <> 0").selectExpr(
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "concat('r', doc_id) AS review_id")
+    sentiment = docs.filter("lang <> 'de'").selectExpr(
         "review_id", "'sentiment' AS target",
         "posexplode(array((doc_id * 7) % 100 / 100.0D, (doc_id * 11) % 100 / 100.0D, (doc_id * 13) % 100 / 100.0D)) AS (ord, score)")
     sentiment = sentiment.selectExpr("review_id", "target", "ord", "concat('LABEL_', ord) AS label", "score")
-    layers = docs.filter("doc_id % 4 = 1").selectExpr(
+    layers = docs.filter("lang IN ('en', 'es')").selectExpr(
         "review_id", "doc_id", "posexplode(array('layer1', 'layer3')) AS (ord, target)")
     layers = layers.selectExpr(
         "review_id", "target", "0 AS ord",
-        "CASE WHEN target = 'layer1' THEN CASE WHEN doc_id % 8 = 1 THEN 'LAYANAN' ELSE 'APLIKASI' END "
-        "ELSE CASE WHEN doc_id % 12 = 1 THEN 'Pengaduan' WHEN doc_id % 12 = 5 THEN '' ELSE 'Token & Pembayaran' END END AS label",
+        "CASE WHEN target = 'layer1' THEN CASE WHEN doc_id % 2 = 1 THEN 'LAYANAN' ELSE 'APLIKASI' END "
+        "ELSE CASE WHEN doc_id % 3 = 1 THEN 'Pengaduan' WHEN doc_id % 7 = 5 THEN '' ELSE 'Token & Pembayaran' END END AS label",
         "(doc_id * 3) % 100 / 100.0D AS score")
-    lower = docs.filter("doc_id % 5 <> 2").selectExpr(
+    lower = docs.filter("lang <> 'fr'").selectExpr(
         "review_id", "doc_id", "posexplode(array('Gagal Bayar', 'Token Tidak Masuk', 'Padam', 'Respon Petugas', "
         "'Padam Meluas', 'Padam Rumah', 'Saldo Terpotong', 'Metode Ditolak', 'not in the taxonomy')) AS (ord, label)")
     lower = lower.selectExpr("review_id", "CASE WHEN ord < 4 THEN 'layer4' ELSE 'layer5' END AS target", "ord", "label",
