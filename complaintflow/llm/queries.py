@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from complaintflow.llm import mixing, simhash
+from complaintflow.llm import classifier, mixing, pii, quality_rules, simhash
 
 QUERIES = {
+    "op2_pseudonyms": pii.query,
+    "op5_quality_score": classifier.query,
     "op6_fair_mix": mixing.query,
+    "op8_robust_outliers": quality_rules.query,
     "op9_simhash": simhash.query,
 }
 
