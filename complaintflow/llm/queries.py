@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from complaintflow.llm import classifier, mixing, pii, quality_rules, simhash
+from complaintflow.llm import classifier, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_pseudonyms": pii.query,
     "op5_quality_score": classifier.query,
     "op6_fair_mix": mixing.query,
     "op8_robust_outliers": quality_rules.query,
     "op9_simhash": simhash.query,
+    "op10_sentence_spans": sentence_dedup.query,
 }
 
 ORACLES = {
