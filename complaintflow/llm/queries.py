@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from complaintflow.llm import classifier, html_text, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup
+from complaintflow.llm import classifier, html_text, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup, tool_calls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_pseudonyms": pii.query,
+    "op3_tool_calls": tool_calls.query,
     "op4_main_text": html_text.query,
     "op5_quality_score": classifier.query,
     "op6_fair_mix": mixing.query,
