@@ -166,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return np.frombuffer(model["weights"], np.float32).reshape(KINDS, BUCKETS), model["bias"]
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, score. The model is of fixed size."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: tuple[str, ...] = (),
+          name: str = "score") -> DataFrame:
+    """doc_id, ``keep`` and the score, called ``name``. The model is of fixed size."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
     kept = ["doc_id", *(k for k in keep if k != "doc_id")]
     source = columns(docs, *dict.fromkeys([*kept, "text"]))
@@ -175,10 +176,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: tuple[str, ..
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, b = model.value
         scores = pa.array(probabilities(text_bytes(batch.column("text")), w, b))
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), scores], [*kept, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), scores], [*kept, name])
 
     schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in kept)
-    return arrow_map(source, run, f"{schema}, score double")
+    return arrow_map(source, run, f"{schema}, `{name}` double")
 
 
 def held_out():

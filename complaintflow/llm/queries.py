@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from complaintflow.llm import classifier, html_text, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup, tool_calls
+from complaintflow.llm import classifier, decontamination, html_text, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup, tool_calls
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_main_text": html_text.query,
     "op5_quality_score": classifier.query,
     "op6_fair_mix": mixing.query,
+    "op7_benchmark_leaks": decontamination.query,
     "op8_robust_outliers": quality_rules.query,
     "op9_simhash": simhash.query,
     "op10_sentence_spans": sentence_dedup.query,
