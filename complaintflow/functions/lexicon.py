@@ -94,25 +94,24 @@ EMOJI: dict[str, str] = {
 }
 
 # --- fixed values: acronyms, words never stemmed, fillers --------------------
-ACRONYMS: list[str] = """
-    pln otp idpel spklu splu spbklu kwh kva
-    lsp slo nidi p2tl pb pd ps ev plts
-    bpjs qris cc faq url ui ux api sms
-""".split()
+ACRONYMS: list[str] = [
+    "pln", "otp", "idpel", "spklu", "splu", "spbklu", "kwh", "kva", "lsp", "slo", "nidi",
+    "p2tl", "pb", "pd", "ps", "ev", "plts", "bpjs", "qris", "cc", "faq", "url", "ui", "ux",
+    "api", "sms",
+]
 
-NO_STEM: list[str] = """
-    error loading token tagihan bayar listrik padam gangguan
-    pengaduan aplikasi pembayaran registrasi verifikasi notifikasi
-    password akun login install update server database
-    tidak sudah belum karena kalau tapi saja tolong
-    segera sangat banget masih terus masuk keluar
-    perbaiki diperbaiki perbarui diperbarui
-""".split()
+NO_STEM: list[str] = [
+    "error", "loading", "token", "tagihan", "bayar", "listrik", "padam", "gangguan",
+    "pengaduan", "aplikasi", "pembayaran", "registrasi", "verifikasi", "notifikasi", "password",
+    "akun", "login", "install", "update", "server", "database", "tidak", "sudah", "belum",
+    "karena", "kalau", "tapi", "saja", "tolong", "segera", "sangat", "banget", "masih", "terus",
+    "masuk", "keluar", "perbaiki", "diperbaiki", "perbarui", "diperbarui",
+]
 
-FILLERS: list[str] = """
-    wkwk wkwkwk wkwkwkwk haha hehe hihi huhu
-    xixi hahaha hehehehe hmm mmm umm
-""".split()
+FILLERS: list[str] = [
+    "wkwk", "wkwkwk", "wkwkwkwk", "haha", "hehe", "hihi", "huhu", "xixi", "hahaha", "hehehehe",
+    "hmm", "mmm", "umm",
+]
 
 # --- fixed values: sentiment lexicons (phrase -> weight) ---------------------
 NEGATIVE: dict[str, int] = {
@@ -128,7 +127,7 @@ POSITIVE: dict[str, int] = {
     "puas": 2, "terima kasih": 2, "makasih": 2, "keren": 2, "mantaap": 2, "recommend": 2,
     "oke": 1, "lumayan": 1, "berhasil": 1,
 }
-NEGATORS: list[str] = "tidak ga gak ngga nggak bukan jangan belum".split()
+NEGATORS: list[str] = ["tidak", "ga", "gak", "ngga", "nggak", "bukan", "jangan", "belum"]
 
 # --- fixed values: override phrases ------------------------------------------
 STRONG_POSITIVE: list[str] = [
@@ -194,3 +193,9 @@ SOURCE_KEYWORD = "keyword"
 SOURCE_LABEL_MODEL = "IndoBERT"
 RESCUE_SUFFIX = "+rating_rescue"
 RARE_LABEL = "Lainnya"
+
+# --- fixed values: reason texts ----------------------------------------------
+REASON_RESCUED = "tanpa keluhan eksplisit — model sentimen awal salah baca istilah domain PLN, dikoreksi jadi Positif."
+REASON_NO_COMPLAINT = " review — not classified as a complaint."
+REASON_MISREAD = f"dengan teks positif — terdeteksi sebagai '{MISREAD_STAR}' (inkonsistensi rating vs konten)."
+REASON_COMPLAINT = "Negative complaint: "

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_REVIEW_CHARS = 10
-MAX_TARGET = 2000
-MAX_QUEUE = 5000
-PAGE_SIZE = 200
 
 
 def parse_bound(value: str | None, end: bool = False) -> Column:
@@ -83,16 +80,9 @@ SORT_COLUMNS = {"newest": "at", "rating": "score", "relevance": "relevance"}
 
 def first_matching(raw: DataFrame, count: int, sort: str = "newest", max_rating: int = 0,
                    date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """The first ``count`` rows passing the rules, in source order, from a bounded raw scan.
-
-    The source is read page by page until ``max(50 * count, 5000)`` raw rows were seen, so the
-    bound is rounded up to whole pages. Both limits are top-k, not full sorts.
-    """
-    count = min(count, MAX_TARGET)
-    pages = -(-max(50 * count, 5000) // PAGE_SIZE)
+    """The first ``count`` rows passing the rules, in source order. All raw rows are considered; the limit is a top-k."""
     order = [F.col(SORT_COLUMNS[sort]).desc(), *[F.col(c) for c in ("review_id", "arrival") if c in raw.columns]]
-    scanned = raw.orderBy(*order).limit(pages * PAGE_SIZE)
-    kept = scanned.filter(
+    kept = raw.filter(
         rating_ceiling(F.col("score"), max_rating) & date_window(F.col("at"), date_from, date_to)
         & content_rule(F.col("content")) & has_key(F.col("review_id")))
     return to_reviews(kept.orderBy(*order).limit(count))
@@ -119,19 +109,16 @@ def pending(reviews: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def pending_queue(reviews: DataFrame, results: DataFrame, limit: int = 50) -> DataFrame:
-    """The latest-scraped pending reviews, id as tie-breaker, at most 5000.
+    """The latest-scraped pending reviews, id as tie-breaker, at most ``limit``.
 
     The anti join and the top-k see keys and times only; the texts are looked up afterwards for
-    the rows that were chosen, which are few enough to broadcast.
+    the rows that were chosen.
     """
-    limit = min(limit, MAX_QUEUE)
     chosen = (pending(reviews.select("id", "scraped_at"), results)
               .orderBy(F.col("scraped_at").desc(), F.col("id")).limit(limit).select("id"))
-    return (reviews.join(F.broadcast(chosen), "id", "left_semi")
+    return (reviews.join(chosen, "id", "left_semi")
             .orderBy(F.col("scraped_at").desc(), F.col("id")).limit(limit))
 
 
 def pending_count(reviews: DataFrame, results: DataFrame) -> DataFrame:
-    """The count as reported (a list of at most 5000) and the whole count."""
-    return pending(reviews.select("id"), results).agg(F.count("*").alias("total")).select(
-        F.least(F.col("total"), F.lit(MAX_QUEUE)).alias("pending_count"), F.col("total").alias("pending_total"))
+    return pending(reviews.select("id"), results).agg(F.count("*").alias("pending_count"))

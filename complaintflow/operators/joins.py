@@ -20,12 +20,3 @@ def small_side(df: DataFrame, small: bool) -> DataFrame:
     """A broadcast hint where the side is known to be small; otherwise the plan is left to Spark,
     which then shuffles both sides and splits skewed partitions at run time."""
     return F.broadcast(df) if small else df
-
-
-def small_or_whole(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """For the side of a join with one row per class or key: computed once and broadcast as local
-    rows when its size is within bounds, left as it is for a shuffled join otherwise."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(r)) for r in rows) > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

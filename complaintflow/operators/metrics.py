@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DENSE_LABELS = 1000
 MIN_F1, MIN_KAPPA = 0.75, 0.61
 
 
@@ -20,23 +21,21 @@ def label_axis(cells: DataFrame) -> DataFrame:
             .distinct().orderBy("label"))
 
 
-def dense_matrix(cells: DataFrame, max_labels: int = MAX_DENSE_LABELS) -> DataFrame:
-    """Long form with zero cells over the label axis. Beyond ``max_labels`` the zeros are left out,
-    since the matrix itself would be the large object; the non-zero cells always stay complete."""
-    axis = label_axis(cells).limit(max_labels + 1).agg(F.collect_list("label").alias("a"))
-    axis = axis.filter(F.size("a") <= max_labels)
-    zeros = (axis.select(F.explode("a").alias("actual"), "a")
-             .select("actual", F.explode("a").alias("predicted"), F.lit(0).cast("long").alias("n")))
+def dense_matrix(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Long form with a cell for every pair of the given labels, zeros included, and every other cell that occurs.
+
+    The caller names the labels, as the matrix grows with the square of their number; ``confusion_cells`` and
+    ``label_axis`` are the complete form for any number of labels.
+    """
+    spark = cells.sparkSession
+    axis = spark.createDataFrame([(x,) for x in labels], "label string").select("label", F.lit(list(labels)).cast("array<string>").alias("all"))
+    zeros = axis.select(F.col("label").alias("actual"), F.explode("all").alias("predicted"), F.lit(0).cast("long").alias("n"))
     return cells.union(zeros).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
-def wide_matrix(cells: DataFrame, max_labels: int = MAX_DENSE_LABELS) -> DataFrame:
-    """One row per true label, one column per label of the axis."""
-    axis = label_axis(cells)
-    labels = [r["label"] for r in axis.limit(max_labels + 1).collect()]
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: use the long form")
-    return (dense_matrix(cells, max_labels).groupBy("actual").pivot("predicted", labels)
+def wide_matrix(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """One row per true label that is given or occurs, one column per given label."""
+    return (dense_matrix(cells, labels).groupBy("actual").pivot("predicted", list(labels))
             .agg(F.sum("n")).orderBy("actual"))
 
 

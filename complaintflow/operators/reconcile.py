@@ -6,13 +6,8 @@ once. Options come from equality joins on the path, so candidates never meet out
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from complaintflow.functions.labels import clean_label
 from complaintflow.functions.text import strip
@@ -24,31 +19,8 @@ SCORED, MANUAL = "llm_zeroshot", "NEEDS_MANUAL_REVIEW"
 LAYER_COLUMNS = [f"LAYER {i}" for i in range(1, 6)]
 
 
-@F.pandas_udf(T.StructType([T.StructField("option", T.StringType()), T.StructField("score", T.DoubleType())]))
-def _closest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Best option by matching-block ratio. The comparison is not symmetric: the search compares
-    option to label, the reported score label to option. Null labels are not compared."""
-    known: dict[tuple, tuple] = {}
-    for labels, options in batches:
-        out = []
-        for label, opts in zip(labels, options):
-            if label is None or opts is None:
-                out.append((None, None))
-                continue
-            key = (label, tuple(opts))
-            if key not in known:
-                close = difflib.get_close_matches(label, key[1], n=1, cutoff=FUZZY_CUTOFF)
-                known[key] = (close[0], difflib.SequenceMatcher(None, label, close[0]).ratio()) if close else (None, None)
-            out.append(known[key])
-        yield pd.DataFrame(out, columns=["option", "score"]).astype({"score": "float64"})
-
-
-def closest_by_blocks(label: Column, options: Column) -> Column:
-    return _closest(label, options)
-
-
 def closest_by_edits(label: Column, options: Column) -> Column:
-    """The JVM-side variant: one minus edit distance over the longer length, same cutoff and ties."""
+    """Best option by one minus edit distance over the longer length; the larger text on ties."""
     ranked = F.transform(options, lambda o: F.struct(
         (1 - F.levenshtein(label, o) / F.greatest(F.length(label), F.length(o))).alias("score"), o.alias("option")))
     top = F.array_max(F.filter(ranked, lambda r: r["score"] >= FUZZY_CUTOFF))
@@ -90,7 +62,7 @@ def _level(df: DataFrame, level: int, closest, maps: DataFrame | None) -> DataFr
         .when(m == SCORED, F.round("_scored.score", 3)).otherwise(0.0).alias(f"score{level}"))
 
 
-def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_blocks,
+def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_edits,
                      label_scores: DataFrame | None = None) -> DataFrame:
     """Distinct raw tuples ``raw1..raw5`` with ``c1, c2`` and, per level 3 to 5, match, method and
     score. Each level uses the reconciled parent."""
@@ -110,7 +82,7 @@ def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_b
     return df.drop("l1", "l2", "l3", "l4", "l5", "c3", "c4", "c5")
 
 
-def reconcile(report: DataFrame, taxonomy: Taxonomy, row_id: str = "row", closest=closest_by_blocks,
+def reconcile(report: DataFrame, taxonomy: Taxonomy, row_id: str = "row", closest=closest_by_edits,
               label_scores: DataFrame | None = None) -> DataFrame:
     """Every report row with its raw labels and the reconciled ones of its tuple."""
     raw = report.select(row_id, *[c for c in report.columns if c not in (row_id, *LAYER_COLUMNS)],

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from complaintflow.functions import lexicon as lx
+from complaintflow.operators.joins import is_small, small_side
+
 
 def best_label(scores: DataFrame, keys: Iterable[str] = ("review_id", "target")) -> DataFrame:
     """The best label per key: highest score, the first in source order on ties.
@@ -35,14 +38,16 @@ def per_review(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row per review: ``sentiment_top`` and ``layer1..3_top`` (struct(label, score)), and
     ``layer4_scores`` / ``layer5_scores`` (map option -> score).
 
-    Rows are first reduced to one per (review, target, label), with map-side combine; only layers
+    Rows are first reduced to one per (review, target, label); only layers
     4 and 5 are collected, and ``labels`` (column ``label``) limits them to taxonomy labels.
     """
     if labels is not None:
         upper = ~F.col("target").isin("layer4", "layer5")
         known = labels.select("label").distinct()
-        scores = scores.filter(upper).unionByName(scores.filter(~upper).join(known, "label", "left_semi"))
-    once = scores.groupBy("review_id", "target", "label").agg(
+        known = small_side(known, is_small(known)).withColumn("_known", F.lit(True))
+        scores = scores.join(known, "label", "left").filter(upper | F.col("_known")).drop("_known")
+    # both aggregates, and the join with the reviews, work on this one exchange
+    once = scores.repartition("review_id").groupBy("review_id", "target", "label").agg(
         F.max("score").alias("score"), F.min("ord").alias("ord"))
 
     def of(target: str) -> Column:
@@ -68,5 +73,5 @@ def overlay_labels(df: DataFrame) -> DataFrame:
     return df.select(
         *plain,
         *[F.when(has[i], F.col(f"layer{i}_top.label")).otherwise(F.col(f"layer{i}")).alias(f"layer{i}") for i in (1, 2, 3)],
-        F.when(has[1] | has[2] | has[3], "IndoBERT").otherwise(F.col("class_source")).alias("class_source"),
+        F.when(has[1] | has[2] | has[3], lx.SOURCE_LABEL_MODEL).otherwise(F.col("class_source")).alias("class_source"),
         F.when(has[3], F.col("layer3_top.score")).otherwise(F.col("class_confidence")).alias("class_confidence"))

@@ -13,7 +13,6 @@ from complaintflow.operators.joins import is_small, small_side
 
 LEVELS = ["l1", "l2", "l3", "l4", "l5"]
 MAX_LITERAL_ROWS = 20_000
-TREE_TYPE = "array<struct<label:string,children:array<struct<label:string,param:string>>>>"
 
 
 def _filled(*names: str) -> Column:
@@ -29,6 +28,10 @@ def _path_key(*names: str) -> Column:
     return F.concat(*[c for n in names for c in (F.col(n), F.lit("\x1f"))])
 
 
+def _path_text(path: tuple) -> str:
+    return "".join(f"{x}\x1f" for x in path)
+
+
 class Taxonomy:
     """Derived tables over rows ``(ord, l1..l5, param)``; ``ord`` is the source order.
 
@@ -44,42 +47,29 @@ class Taxonomy:
         return is_small(self.rows)
 
     @cached_property
-    def _known_rows(self) -> list | None:
-        """The rows themselves while there are at most ``literal_rows`` of them."""
-        rows = self.rows.select("ord", *LEVELS, "param").limit(self.literal_rows + 1).collect()
-        return rows if len(rows) <= self.literal_rows else None
-
-    @property
     def literal(self) -> bool:
-        return self.literal_rows > 0 and self._known_rows is not None
+        """Whether the taxonomy is small enough to be part of the plan; rows and bytes are counted before any is brought in."""
+        return self.literal_rows > 0 and is_small(self.rows, self.literal_rows)
 
     @cached_property
-    def _literals(self):
-        """``subtrees`` of a small taxonomy as two lookups, without running jobs for them."""
-        below: dict[tuple, set] = {}
-        below_label: dict[str, set] = {}
-        last_param: dict[tuple, str] = {}
-        for r in sorted(self._known_rows, key=lambda r: r["ord"]):
+    def _literals(self) -> dict:
+        """Options and parameters of a small taxonomy as lookups: by full path, and by the last label alone."""
+        options: dict[int, dict] = {4: {}, 5: {}}
+        leaf_options: dict[int, dict] = {4: {}, 5: {}}
+        param: dict[str, str] = {}
+        leaf_param: dict[str, str] = {}
+        for r in sorted(self.rows.select("ord", *LEVELS, "param").collect(), key=lambda r: r["ord"]):
             path = tuple(r[c] for c in LEVELS)
             for depth in (4, 5):
                 if all(path[:depth]):
-                    below.setdefault(path[: depth - 1], set()).add(path[depth - 1])
-            if all(path):
-                below_label.setdefault(path[3], set()).add(path[4])
+                    options[depth].setdefault(_path_text(path[: depth - 1]), set()).add(path[depth - 1])
+                    leaf_options[depth].setdefault(path[depth - 2], set()).add(path[depth - 1])
             if all(path) and r["param"]:
-                last_param[path] = last_param[path[4:]] = r["param"]
-
-        def node(path: tuple) -> dict:
-            children = below.get(path) or below_label.get(path[3], ())
-            return {"label": path[3], "children": [
-                {"label": c, "param": last_param.get((*path, c)) or last_param.get((c,), "")} for c in sorted(children)]}
-
-        by_path = {"".join(f"{x}\x1f" for x in path): [node((*path, c)) for c in sorted(options)]
-                   for path, options in below.items() if len(path) == 3}
-        by_label = {path[2]: [node((None, None, path[2], c)) for c in sorted(
-            {c for q, options in below.items() if len(q) == 3 and q[2] == path[2] for c in options})]
-            for path in below if len(path) == 3}
-        return lookup(by_path, TREE_TYPE), lookup(by_label, TREE_TYPE)
+                param[_path_text(path)] = leaf_param[path[4]] = r["param"]
+        array = "array<string>"
+        sets = lambda x: lookup({k: sorted(v) for k, v in x.items()}, array)
+        return {4: (sets(options[4]), sets(leaf_options[4])), 5: (sets(options[5]), sets(leaf_options[5])),
+                "param": (lookup(param), lookup(leaf_param))}
 
     # ----------------------------------------------------------------- option sets
     def options(self, level: int) -> DataFrame:
@@ -159,58 +149,45 @@ class Taxonomy:
         return df.select(*[c for c in df.columns if c not in ("_exact", "_leaf", out)],
                          F.coalesce("_exact", "_leaf", F.lit("")).alias(out))
 
-    # ----------------------------------------------------------------- level 4 and 5 in one lookup
-    def subtrees(self) -> tuple[DataFrame, DataFrame]:
-        """(per path, per level-3 label): the level-4 options with their own level-5 options and
-        parameters, all fallbacks already resolved. Two lookups then serve a review completely.
-
-        A level-4 option reached by full path falls back to the level-5 options of its bare label;
-        an option reached by bare label has no full path to start with.
-        """
-        full = self.rows.filter(_filled("l1", "l2", "l3", "l4")).select("l1", "l2", "l3", "l4").distinct()
-        by_path = self.with_options(full, 5, "_l5").select("l1", "l2", "l3", "l4", F.explode_outer("_l5").alias("l5"))
-        by_path = self.with_parameter(by_path)
-        by_label = full.select("l3", "l4").distinct().join(
-            small_side(self.leaf_options(5).withColumnRenamed("options", "_l5"), self.small), "l4", "left")
-        by_label = by_label.select("l3", "l4", F.explode_outer("_l5").alias("l5")).join(
-            small_side(self.leaf_parameters(), self.small), "l5", "left")
-
-        def fold(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-            child = F.struct(F.col("l5").alias("label"), F.coalesce("param", F.lit("")).alias("param"))
-            below = rows.groupBy(*keys, "l4").agg(
-                F.sort_array(F.collect_list(F.when(F.col("l5").isNotNull(), child))).alias("children"))
-            node = F.struct(F.col("l4").alias("label"), F.col("children"))
-            return below.groupBy(*keys).agg(F.sort_array(F.collect_list(node)).alias(name))
-
-        return fold(by_path, ["l1", "l2", "l3"], "_tree"), fold(by_label, ["l3"], "_leaf_tree")
-
+    # ----------------------------------------------------------------- level 4 and 5
     def pick_lower_levels(self, df: DataFrame, eligible: Column, l4_scores: str | None = None,
                           l5_scores: str | None = None) -> DataFrame:
         """Adds ``layer4``, ``layer5`` and ``quality_param`` for the columns layer1..3: the best-scored
         option of the path, the first one without scores, blanks without options or eligibility.
 
-        ``l4_scores`` and ``l5_scores`` name map columns option -> score. A taxonomy of up to
-        ``literal_rows`` rows is a lookup inside the projection; a larger one is joined.
+        Options come by full path, else by the parent label alone; each list is kept once. ``l4_scores`` and
+        ``l5_scores`` name map columns option -> score. A taxonomy of up to ``literal_rows`` rows is a lookup
+        inside the projection; a larger one is joined, for the eligible rows' paths only.
         """
         plain = df.columns
         df = df.select(*plain, *[F.when(eligible, F.col(f"layer{i}")).alias(f"_k{i}") for i in (1, 2, 3)])
-        if self.literal:
-            by_path, by_label = self._literals
-            df = df.select(*plain, F.coalesce(by_path(_path_key("_k1", "_k2", "_k3")), by_label(F.col("_k3"))).alias("_tree"))
-        else:
-            tree, leaf = self.subtrees()
-            tree = tree.select(*[F.col(f"l{i}").alias(f"_k{i}") for i in (1, 2, 3)], "_tree")
-            leaf = leaf.select(F.col("l3").alias("_k3"), "_leaf_tree")
-            df = fence(df, "_k1", "_k2", "_k3")
-            df = df.join(small_side(tree, self.small), ["_k1", "_k2", "_k3"], "left")
-            df = df.join(small_side(leaf, self.small), ["_k3"], "left")
-            df = df.select(*plain, F.coalesce("_tree", "_leaf_tree").alias("_tree"))
-        df = df.select(*plain, best_option(F.col("_tree"), l4_scores).alias("_l4"))
-        df = df.select(*plain, "_l4", best_option(F.col("_l4.children"), l5_scores).alias("_l5"))
+        df = self._found(df, ["_k1", "_k2", "_k3"], 4, "_o4")
+        df = df.withColumn("_k4", best_option(F.col("_o4"), l4_scores)).drop("_o4")
+        df = self._found(df, ["_k1", "_k2", "_k3", "_k4"], 5, "_o5")
+        df = df.withColumn("_k5", best_option(F.col("_o5"), l5_scores)).drop("_o5")
+        df = self._found(df, ["_k1", "_k2", "_k3", "_k4", "_k5"], "param", "_p")
         keep = [c for c in plain if c not in ("layer4", "layer5", "quality_param")]
-        return df.select(*keep, F.coalesce("_l4.label", F.lit("")).alias("layer4"),
-                         F.coalesce("_l5.label", F.lit("")).alias("layer5"),
-                         F.coalesce("_l5.param", F.lit("")).alias("quality_param"))
+        return df.select(*keep, F.coalesce("_k4", F.lit("")).alias("layer4"), F.coalesce("_k5", F.lit("")).alias("layer5"),
+                         F.coalesce("_p", F.lit("")).alias("quality_param"))
+
+    def _found(self, df: DataFrame, keys: list[str], what: int | str, out: str) -> DataFrame:
+        """Adds the options at a level, or the parameter, of the path in ``keys``: by full path, else by the last key."""
+        last = keys[-1]
+        if self.literal:
+            by_path, by_label = self._literals[what]
+            return df.withColumn(out, F.coalesce(by_path(_path_key(*keys)), by_label(F.col(last))))
+        value = "param" if what == "param" else "options"
+        exact, leaf = (self.parameters(), self.leaf_parameters()) if what == "param" else (self.options(what), self.leaf_options(what))
+        levels = LEVELS[: len(keys)]
+        exact = exact.select(*[F.col(c).alias(k) for c, k in zip(levels, keys)], F.col(value).alias("_exact"))
+        leaf = leaf.select(F.col(levels[-1]).alias(last), F.col(value).alias("_leaf"))
+        plain = df.columns
+        # rows without a key need no lookup and would all meet in one partition
+        df = fence(df, *keys)
+        known = df.filter(F.col(last).isNotNull())
+        rest = df.filter(F.col(last).isNull()).select(*plain, F.lit(None).cast(exact.schema["_exact"].dataType).alias(out))
+        known = known.join(small_side(exact, is_small(exact)), keys, "left").join(small_side(leaf, is_small(leaf)), last, "left")
+        return known.select(*plain, F.coalesce("_exact", "_leaf").alias(out)).unionByName(rest)
 
 
 def best_option(options: Column, scores: str | None) -> Column:
@@ -219,7 +196,7 @@ def best_option(options: Column, scores: str | None) -> Column:
     if scores is None:
         return F.get(options, F.lit(0))
     ranked = F.transform(options, lambda o, i: F.struct(
-        F.coalesce(F.col(scores)[o["label"]], F.lit(float("-inf"))).alias("score"), (-i).alias("first"), o.alias("o")))
+        F.coalesce(F.col(scores)[o], F.lit(float("-inf"))).alias("score"), (-i).alias("first"), o.alias("o")))
     return F.array_max(ranked)["o"]
 
 

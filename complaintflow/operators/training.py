@@ -54,7 +54,8 @@ def train_best(train: DataFrame, test: DataFrame, candidates: Sequence[dict] = C
             model = classifier(c["regParam"], c["maxIter"], features).fit(rows)
             metrics = summary(confusion_cells(predictions(model, test)))
             row = metrics.first()
-            if best is None or row["macro_f1"] > best[1]["macro_f1"]:
+            # without held-out rows there is no score; the first candidate then stays
+            if best is None or (row["macro_f1"] or 0.0) > (best[1]["macro_f1"] or 0.0):
                 best = (model, row, metrics.schema)
         return best[0], train.sparkSession.createDataFrame([best[1]], best[2])
     finally:

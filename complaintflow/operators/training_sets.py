@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from complaintflow.functions import lexicon as lx
 from complaintflow.functions.normalize import TextRules, normalize_text
 from complaintflow.functions.text import token_count
-from complaintflow.operators.joins import small_or_whole
 
 TARGETS = {"layer1": "LAYER 1", "layer2": "LAYER 2", "layer3": "LAYER 3"}
 
@@ -38,7 +37,7 @@ def fold_rare(df: DataFrame, min_count: int = 10, folded: str = lx.RARE_LABEL) -
     labels are joined back, so the side that is looked up never holds a frequent label.
     """
     rare = df.groupBy("label").agg(F.count("*").alias("_n")).filter(F.col("_n") < min_count).select("label", F.lit(True).alias("_rare"))
-    joined = df.join(small_or_whole(rare), "label", "left")
+    joined = df.join(rare, "label", "left")
     return joined.select(*[F.when(F.col("_rare"), folded).otherwise(F.col("label")).alias("label") if c == "label"
                            else F.col(c) for c in df.columns])
 
@@ -91,20 +90,20 @@ def stratified_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int
     last = (hashed.select("label", "_slice", "_h", key).join(cuts, ["label", "_slice"])
             .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_rest"))
             .select("label", F.struct("_h", F.col(key).alias("_key")).alias("_last")))
-    placed = hashed.join(small_or_whole(last), "label", "left")
+    placed = hashed.join(last, "label", "left")
     in_test = F.coalesce(F.struct("_h", F.col(key).alias("_key")) <= F.col("_last"), F.lit(False))
     return placed.select(*df.columns, F.when(in_test, "test").otherwise("train").alias("part"))
 
 
 def class_weights(train: DataFrame) -> DataFrame:
-    """Balanced weights n / (k * n_c) per class, from one aggregate; the totals run over the
+    """Balanced weights n / (k * n_c) per class, from one aggregate; the totals are scalars over the
     per-class table."""
     counts = train.groupBy("label").agg(F.count("*").alias("n"))
-    every = Window.partitionBy()
-    weight = F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))
+    total, classes = (counts.agg(x).scalar() for x in (F.sum("n"), F.count("*")))
+    weight = total / (classes * F.col("n"))
     return counts.select("label", "n", weight.alias("weight"))
 
 
 def weighted(train: DataFrame) -> DataFrame:
     """Training rows with their class weight in ``weight``."""
-    return train.join(small_or_whole(class_weights(train).select("label", "weight")), "label")
+    return train.join(class_weights(train).select("label", "weight"), "label")

@@ -6,6 +6,7 @@ Without model scores the plan has no shuffle at all: projections and two lookups
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,10 @@ def escalates(l1: Column, words: Column) -> Column:
 
 
 def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = None,
-            rules: Rules = Rules(), text: str = "review_text", key: str = "id") -> DataFrame:
-    """``reviews`` plus the 17 record columns. Needs ``rating`` (int, nullable)."""
+            rules: Rules = Rules(), text: str = "review_text", key: str = "id",
+            columns: Sequence[str] | None = None) -> DataFrame:
+    """``reviews`` plus the 17 record columns, or only ``columns``, and then nothing else is computed. Needs ``rating``
+    (int, nullable)."""
     keep = [c for c in reviews.columns if c not in RECORD_COLUMNS]
     df = reviews.select(*keep)
     model = l4_scores = l5_scores = None
@@ -103,11 +106,11 @@ def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = N
     stars = F.concat(F.lit("Rating "), rating.cast("string"), F.lit("★ "))
     reason = (
         F.when(F.col("_rescued"), F.concat(stars, F.lit(
-            "tanpa keluhan eksplisit — model sentimen awal salah baca istilah domain PLN, dikoreksi jadi Positif.")))
-        .when(~complaint, F.concat(sentiment, F.lit(" review — not classified as a complaint.")))
+            lx.REASON_RESCUED)))
+        .when(~complaint, F.concat(sentiment, F.lit(lx.REASON_NO_COMPLAINT)))
         .when(misread, F.concat(stars, F.lit(
-            f"dengan teks positif — terdeteksi sebagai '{lx.MISREAD_STAR}' (inkonsistensi rating vs konten).")))
-        .otherwise(F.concat(F.lit("Negative complaint: "), F.col("_l1"), F.lit(" > "), F.col("_l3"),
+            lx.REASON_MISREAD)))
+        .otherwise(F.concat(F.lit(lx.REASON_COMPLAINT), F.col("_l1"), F.lit(" > "), F.col("_l3"),
                             F.when(F.col("layer4") != "", F.concat(F.lit(" > "), F.col("layer4"))).otherwise(""))))
     record = df.select(
         *keep,
@@ -122,7 +125,9 @@ def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = N
         F.when(misread, F.round(F.least(sconf, F.lit(0.85)), 3)).when(complaint, F.round(F.least(sconf, cconf), 3))
         .otherwise(F.round(sconf, 3)).alias("confidence"),
         reason.alias("reason"))
-    return fence(record, *[c for c in RECORD_COLUMNS if c != "normalized"])
+    if columns is not None:
+        record = record.select(*columns)
+    return fence(record, *[c for c in RECORD_COLUMNS if c != "normalized" and c in record.columns])
 
 
 def long_enough(text: Column) -> Column:

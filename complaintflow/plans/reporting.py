@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from complaintflow.operators.joins import small_or_whole
-
-MAX_LIST = 200
 RESULT_COLUMNS = [
     "normalized_text", "sentiment", "sentiment_confidence", "is_complaint", "category", "subcategory",
     "classification_confidence", "reason", "escalated", "layer1", "layer2", "layer3", "layer4", "layer5",
     "quality_param", "analyzed_at",
 ]
+# Texts and headings of the export.
 FLAGGED_TEXT = "Flagged - Salah Klasifikasi"
 YES, NO = "Ya", "Tidak"
 EXPORT_HEADERS = {
@@ -96,20 +94,18 @@ def filtered(feed: DataFrame, **equal: object) -> DataFrame:
 
 def recent_results(reviews: DataFrame, results: DataFrame, flags: DataFrame | None = None, limit: int = 50,
                    **equal: object) -> DataFrame:
-    """The newest results under the filters, at most 200, in the shape of ``result_feed``.
+    """The newest results under the filters, at most ``limit``, in the shape of ``result_feed``.
 
     The top-k runs over keys and filter columns; texts and flags are looked up for the chosen
-    results only, which are few enough to broadcast.
+    results only.
     """
-    limit = min(limit, MAX_LIST)
     by_result = {n: x for n, x in equal.items() if n != "rating"}
     narrow = filtered(results, **by_result).select("result_id", "review_id", "analyzed_at")
     rated = filtered(reviews, rating=equal.get("rating")).select(F.col("id").alias("review_id"))
     chosen = (narrow.join(rated, "review_id", "left_semi")
               .orderBy(F.col("analyzed_at").desc(), F.col("result_id")).limit(limit))
-    chosen = small_or_whole(chosen)
-    rows = results.join(F.broadcast(chosen.select("result_id")), "result_id", "left_semi")
-    wanted = reviews.join(F.broadcast(chosen.select(F.col("review_id").alias("id"))), "id", "left_semi")
+    rows = results.join(chosen.select("result_id"), "result_id", "left_semi")
+    wanted = reviews.join(chosen.select(F.col("review_id").alias("id")), "id", "left_semi")
     return (result_feed(wanted, rows, flags).orderBy(F.col("analyzed_at").desc(), F.col("result_id"))
             .limit(limit))
 
@@ -129,6 +125,10 @@ def export_table(feed: DataFrame, sentiment: str | None = None, layer1: str | No
 
 
 # --------------------------------------------------------------------------- drill-down
+#: What the drill-down needs of an analysis.
+DRILL_COLUMNS = ["is_complaint", "subcategory", "layer1", "layer2", "layer3"]
+
+
 def drill_down(results: DataFrame) -> DataFrame:
     """Complaint counts per layer1, (layer1, layer2) and (layer1, layer2, layer3): ``level`` 1 to 3.
 
@@ -159,8 +159,9 @@ def drill_down_lists(levels: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- raw review pages
 def search(text: Column, term: str) -> Column:
-    """Case-insensitive containment in which ``%`` and ``_`` of the term are wildcards."""
-    return text.ilike(f"%{term}%")
+    """Case-insensitive containment in which ``%`` and ``_`` of the term are wildcards and nothing escapes them."""
+    pattern = term.replace("\\", "\\\\")
+    return text.ilike(f"%{pattern}%")
 
 
 def display_date(date: Column) -> Column:
@@ -186,15 +187,14 @@ def raw_page(reviews: DataFrame, results: DataFrame, page: int = 1, per_page: in
     """One page, newest first with the id as tie-breaker, plus ``analyzed``, total and pages.
 
     The total is a scalar subquery over the same filters, not a window over all rows, and the
-    ``analyzed`` mark is looked up for the rows of the page only (200 at most).
+    ``analyzed`` mark is looked up for the rows of the page only.
     """
-    page, per_page = max(page, 1), min(per_page, MAX_LIST)
+    page = max(page, 1)
     rows = raw_reviews(reviews, results, rating, term, analyzed)
     total = rows.agg(F.count("*").alias("n")).scalar()
     shown = (rows.orderBy(F.col("review_date").desc(), F.col("id"))
              .offset((page - 1) * per_page).limit(per_page))
-    shown = small_or_whole(shown)
-    done = results.select(F.col("review_id").alias("id")).join(F.broadcast(shown.select("id")), "id", "left_semi")
+    done = results.select(F.col("review_id").alias("id")).join(shown.select("id"), "id", "left_semi")
     marked = shown.join(done.distinct().withColumn("analyzed", F.lit(True)), "id", "left").withColumn("total", total)
     return marked.select(
         "id", "username", "review_text", "rating", "review_date", F.coalesce("analyzed", F.lit(False)).alias("analyzed"),

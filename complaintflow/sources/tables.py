@@ -152,10 +152,13 @@ def write_manual_review(report: DataFrame, manual: DataFrame, path: str) -> bool
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder of the session, or below a local temporary
-    folder where the session names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder name below the shared folder of the session. Only a session on one machine may name none."""
+    conf = spark.sparkContext.getConf()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
-        shared = tempfile.mkdtemp(prefix="complaintflow-")
+        shared = f"file://{tempfile.gettempdir()}/complaintflow"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,55 +10,67 @@ from complaintflow import schemas
 from complaintflow.operators.ingest import accepted, new_reviews
 from complaintflow.operators.taxonomy import Taxonomy
 from complaintflow.plans.analysis import Rules, analyze
-from complaintflow.sources.tables import result_rows
+from complaintflow.sources.tables import append_results, read_results, result_rows
 
-BATCH = "ingest_batch"
+RUN, BATCH = "ingest_run", "ingest_batch"
+SEED_RUN = "seed"
+REVIEW_COLUMNS = [f.split()[0] for f in schemas.REVIEWS.split(", ")]
 
 
-def stored_reviews(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The review store, optionally only the batches ahead of ``before``."""
-    rows = spark.read.schema(f"{schemas.REVIEWS}, {BATCH} long").parquet(store)
-    return rows if before is None else rows.filter(F.col(BATCH) < before)
+def stored_reviews(spark: SparkSession, store: str, without: tuple[str, int] | None = None) -> DataFrame:
+    """The review store, optionally without the partition (run, batch) that is being written."""
+    rows = spark.read.schema(f"{schemas.REVIEWS}, {RUN} string, {BATCH} long").parquet(store)
+    return rows if without is None else rows.filter(~((F.col(RUN) == without[0]) & (F.col(BATCH) == without[1])))
 
 
 def ingest_stream(raw: DataFrame, store: str, checkpoint: str, arrival: Column, max_rating: int = 0,
                   date_from: str | None = None, date_to: str | None = None,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Insert-or-ignore of a raw stream into ``store``.
+    """Insert-or-ignore of a raw stream into ``store``, whatever was put into it before by this or another run.
 
-    Each micro-batch overwrites its own partition and is compared with earlier batches only, so a
-    batch that is run again after a failure gives the same store.
+    A run is a checkpoint; its identifier lies in there. Each micro-batch overwrites its own partition (run, batch) and
+    is compared with all others, so a batch that is run again after a failure gives the same store. One run writes into a
+    store at a time. ``compact`` brings the partitions of ended runs together.
     """
     rows = accepted(raw.withColumn("arrival", arrival), max_rating, date_from, date_to)
+    spark = raw.sparkSession
+    spark.createDataFrame([], schemas.REVIEWS).write.mode("ignore").parquet(f"{store}/{RUN}=none/{BATCH}=-1")
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = stored_reviews(spark, store, batch_id) if batch_id > 0 or _has_batches(spark, store) else None
-        fresh = new_reviews(batch, earlier)
+        run = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        fresh = new_reviews(batch, stored_reviews(batch.sparkSession, store, (run, batch_id)))
         if "scraped_at" not in fresh.columns:
             fresh = fresh.withColumn("scraped_at", F.localtimestamp())
-        names = [f.split()[0] for f in schemas.REVIEWS.split(", ")]
-        fresh.select(*names).write.mode("overwrite").parquet(f"{store}/{BATCH}={batch_id}")
+        fresh.select(*REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{store}/{RUN}={run}/{BATCH}={batch_id}")
 
     return (rows.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def _has_batches(spark: SparkSession, store: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{BATCH}=*")
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
-    return found is not None and len(found) > 0
+def seed_store(reviews: DataFrame, store: str) -> None:
+    """Reviews known before any stream starts."""
+    reviews.select(*REVIEW_COLUMNS).write.mode("overwrite").parquet(f"{store}/{RUN}={SEED_RUN}/{BATCH}=-1")
 
 
-def seed_store(reviews: DataFrame, store: str) -> None:
-    """Reviews known before the stream starts, as the batch ahead of all others."""
-    names = [f.split()[0] for f in schemas.REVIEWS.split(", ")]
-    reviews.select(*names).write.mode("overwrite").parquet(f"{store}/{BATCH}=-1")
+def compact(spark: SparkSession, store: str, target: str, files: int) -> None:
+    """The whole store as the seed of a new one, in ``files`` files sorted by id: what a later run reads stays small in number."""
+    rows = stored_reviews(spark, store).repartitionByRange(files, "id").sortWithinPartitions("id")
+    seed_store(rows, target)
 
 
 def analysis_stream(reviews: DataFrame, taxonomy: Taxonomy, sink: str, checkpoint: str, analyzed_at: Column,
                     rules: Rules = Rules(), trigger: dict | None = None) -> StreamingQuery:
-    """The batch analysis on a review stream: stateless, static taxonomy, append-only file sink."""
-    rows = result_rows(analyze(reviews, taxonomy, rules=rules), analyzed_at)
-    return (rows.writeStream.format("parquet").outputMode("append").option("path", sink)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    """The batch analysis on a review stream, for reviews without a stored result only; the sink is that of ``append_results``.
+
+    A batch that is run again, a review that is delivered again and a new checkpoint add nothing twice.
+    """
+    spark = reviews.sparkSession
+    spark.createDataFrame([], schemas.RESULTS).withColumn("analyzed_on", F.to_date("analyzed_at")).write.mode("ignore").partitionBy("analyzed_on").parquet(sink)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        done = read_results(batch.sparkSession, sink).select(F.col("review_id").alias("id"))
+        fresh = batch.dropDuplicates(["id"]).join(done, "id", "left_anti")
+        append_results(result_rows(analyze(fresh, taxonomy, rules=rules), analyzed_at), sink)
+
+    return (reviews.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

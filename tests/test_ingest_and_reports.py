@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from complaintflow import schemas
 from complaintflow.checks import views
 from complaintflow.operators import ingest
-from complaintflow.plans import reporting
+from complaintflow.plans import analysis, reporting
 from complaintflow.sources import tables
 from complaintflow.streaming import incremental
 
@@ -77,6 +77,24 @@ def test_stream_equals_batch_and_survives_a_repeated_batch(spark, tmp_path):
     assert dict(once)["stored"] == "kept as it is"
     # the same batches again, as after a lost commit
     assert drain("c2") == once
+    # another run with other and with overlapping input adds what is new and loses nothing
+    more = [("fresh", "u", "arrives in a later run", 1, JAN, "1", 900), ("stored", "u", "would change it now", 1, JAN, "1", 901)]
+    spark.createDataFrame(more, RAW).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    stream = spark.readStream.schema(RAW).parquet(str(tmp_path / "in2"))
+    assert drain("c3") == sorted([*once, ("fresh", "arrives in a later run")])
+    incremental.compact(spark, store, str(tmp_path / "store2"), 2)
+    assert sorted((r["id"], r["review_text"]) for r in incremental.stored_reviews(spark, str(tmp_path / "store2")).collect()) == drain("c3")
+
+
+def test_only_reviews_without_result_are_analysed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "aplikasi error terus tidak bisa", 1), ("b", "bagus sekali", 5)], "id string, review_text string, rating int")
+    sink = str(tmp_path / "out")
+    for run, part in enumerate((rows.limit(1), rows, rows)):  # new, delivered again with one more, and again with a new checkpoint
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{run // 2}"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{run // 2}"))
+        incremental.analysis_stream(stream, views.fixture_taxonomy(spark), sink, str(tmp_path / f"c{run}"), F.expr(f"timestamp_ntz'2024-03-0{run + 1} 00:00:00'")).awaitTermination()
+    got = sorted((r["review_id"], r["analyzed_at"].day) for r in tables.read_results(spark, sink).collect())
+    assert got == [("a", 1), ("b", 2)]
 
 
 def test_flags_and_lists(spark):
@@ -91,11 +109,22 @@ def test_flags_and_lists(spark):
     feed = reporting.result_feed(reviews, results, reporting.current_flags(events))
     assert len(feed.columns) == 25
     assert len(reporting.export_table(feed).columns) == 17
-    assert reporting.recent_results(reviews, results, None, 1000).count() == 200
+    assert reporting.recent_results(reviews, results, None, 500).count() == 500
     text = plan(reporting.recent_results(reviews, results, None, 10, sentiment="Negatif", rating="2"))
     assert "TakeOrderedAndProject" in text and "Cartesian" not in text
-    # the chosen keys are local rows by now; the wide tables are only probed
-    assert "Scan ExistingRDD" in text and text.count("BroadcastHashJoin") >= 2
+
+
+def test_search_terms_are_taken_as_they_are(spark):
+    df = spark.createDataFrame([("a\\b",), ("axb",), ("A\\B%",)], "t string")
+    assert sorted(r["t"] for r in df.filter(reporting.search(F.col("t"), "a\\b")).collect()) == ["A\\B%", "a\\b"]
+    assert df.filter(reporting.search(F.col("t"), "a_b")).count() == 3
+
+
+def test_drill_down_computes_only_what_it_needs(spark):
+    reviews = views.reviews(spark, "/root/testdata/sf0.001")
+    text = plan(reporting.drill_down(analysis.analyze(reviews, views.fixture_taxonomy(spark), columns=reporting.DRILL_COLUMNS)))
+    assert "Negative complaint" not in text and "Keandalan" not in text
+    assert "Negative complaint" in plan(analysis.analyze(reviews, views.fixture_taxonomy(spark)))
 
 
 def test_drill_down_levels_add_up(spark):

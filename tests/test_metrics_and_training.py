@@ -31,9 +31,22 @@ def test_metrics_against_brute_force(spark):
     assert math.isclose(r["accuracy"], po) and math.isclose(r["macro_f1"], sum(f1.values()) / len(names))
     assert math.isclose(r["kappa"], (po - pe) / (1 - pe))
     assert math.isclose(r["weighted_f1"], sum(f1[x] * sum(a == x for a, _ in pairs) for x in names) / 200)
-    assert metrics.dense_matrix(c).count() == 16 and metrics.wide_matrix(c).columns == ["actual", *names]
-    assert metrics.dense_matrix(c, max_labels=3).count() == c.count()
-    assert "CartesianProduct" not in plan(metrics.dense_matrix(c)) and "NestedLoop" not in plan(metrics.dense_matrix(c))
+    assert metrics.dense_matrix(c, names).count() == 16 and metrics.wide_matrix(c, names).columns == ["actual", *names]
+    text = plan(metrics.dense_matrix(c, names))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_any_number_of_labels(spark):
+    c = cells(spark, [(f"l{i:04}", f"l{i:04}") for i in range(1001)])
+    assert metrics.label_axis(c).count() == 1001 == metrics.class_report(c).count()
+    # cells that the caller's list doesn't name stay
+    assert metrics.dense_matrix(c, ["l0000", "new"]).count() == 1001 + 3
+
+
+def test_training_without_held_out_rows(spark):
+    rows = spark.createDataFrame([("a b", "x"), ("c d", "y")] * 3, "text string, label string")
+    model, metrics_row = training.train_best(rows, rows.limit(0))
+    assert training.class_names(model) == ["x", "y"] and metrics_row.first()["macro_f1"] is None
 
 
 def test_undefined_kappa_is_null(spark):
