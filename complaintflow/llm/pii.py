@@ -61,8 +61,9 @@ def feistel(kind: str, key: str, left: Column, right: Column, a: Column | int, b
 
 
 def letters(kind: str, key: str, value: Column) -> Column:
-    """A permutation of texts of one length and pattern: digits, small and capital letters keep their kind, the rest stays."""
-    hexadecimal = value.rlike("^[0-9a-f]*$")
+    """A permutation of texts of one pattern: every character stays in its alphabet, others stay. Letters up to f are an
+    alphabet of their own, so hexadecimal texts stay hexadecimal."""
+    alphabets = {"[0-9]": "0123456789", "[a-f]": "abcdef", "[g-z]": "ghijklmnopqrstuvwxyz", "[A-F]": "ABCDEF", "[G-Z]": "GHIJKLMNOPQRSTUVWXYZ"}
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
@@ -71,9 +72,10 @@ def letters(kind: str, key: str, value: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             by = F.conv(F.substr(digest, (i * 4) % 124 + 1, F.lit(4)), 16, 10).cast("int")
             pick = lambda alphabet: F.substr(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by) % len(alphabet) + 1, F.lit(1))
-            return (F.when(hexadecimal, pick("0123456789abcdef"))
-                    .when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
-                    .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c))
+            out = c
+            for test, alphabet in alphabets.items():
+                out = F.when(c.rlike(test), pick(alphabet)).otherwise(out)
+            return out
 
         return F.array_join(F.transform(chars(half), one), "")
 
