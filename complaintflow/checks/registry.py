@@ -276,6 +276,12 @@ def _(s, d):
     return normalize.apply_slang(_squeezed(s, d), "t", "t")
 
 
+@query("n10_slang_table", f"WITH {k.REVIEWS}, {_SQUEEZED}, {k.slang_steps('sq', 'o')} SELECT * FROM o")
+def _(s, d):
+    slang = s.createDataFrame(list(lx.SLANG.items()), "token string, replacement string")
+    return normalize.apply_slang_table(_squeezed(s, d), "id", "t", "t", slang)
+
+
 @query("n10a_slang_pairs", f"""WITH {k.REVIEWS}, {_SQUEEZED}, dash AS (SELECT id, replace(t, ' ', ' - ') AS t FROM sq),
   {k.slang_steps('dash', 'o')} SELECT * FROM o""")
 def _(s, d):
@@ -296,6 +302,16 @@ def _(s, d):
     return normalize.apply_stems(_squeezed(s, d), "t", "t", normalize.TextRules(stems=STEMS))
 
 
+@query("n11_stem_table", f"""WITH {k.REVIEWS}, {_SQUEEZED}, w AS (SELECT id, string_split(t, ' ') AS tk,
+    string_split(lower(regexp_replace(t, '[^{k.W} ]', '', 'g')), ' ') AS w FROM sq)
+  SELECT id, array_to_string(list_transform(w, lambda x, i: CASE x WHEN 'membantu' THEN 'bantu' WHEN 'terpotong' THEN 'potong'
+    WHEN 'pemakaian' THEN 'pakai' WHEN 'dikembalikan' THEN 'kembali' WHEN 'aplikasinya' THEN 'aplikasi' WHEN 'digunakan' THEN 'guna'
+    WHEN 'pemberitahuan' THEN 'beritahu' WHEN 'their' THEN 'the' ELSE tk[i] END), ' ') AS t FROM w""")
+def _(s, d):
+    stems = s.createDataFrame(list(STEMS.items()), "token string, stem string")
+    return normalize.apply_stem_table(_squeezed(s, d), "id", "t", "t", stems)
+
+
 @query("n12_acronyms", f"WITH {k.REVIEWS}, {_SQUEEZED}, {k.acronym_steps('sq', 'o')} SELECT * FROM o")
 def _(s, d):
     return normalize.restore_acronyms(_squeezed(s, d), "t", "t")

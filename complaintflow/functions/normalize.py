@@ -234,3 +234,25 @@ def apply_stem_table(df: DataFrame, key: str, col: str, out: str, stems: DataFra
     whole = each.join(usable, "token", "left").groupBy(key).agg(F.sort_array(F.collect_list(word)).alias("_w"))
     joined = whole.select(key, F.array_join(F.col("_w.w"), " ").alias("_out"))
     return df.join(joined, key, "left").select(*[c for c in df.columns if c != out], F.col("_out").alias(out))
+
+
+def apply_slang_table(df: DataFrame, key: str, col: str, out: str, slang: DataFrame,
+                      fillers: Iterable[str] = lx.FILLERS) -> DataFrame:
+    """``apply_slang`` for a dictionary table (token, replacement) of any size: one row per token, two equality joins -
+    the token and its pair with the next - and the texts put together again per ``key``."""
+    text, silent = F.col(col), list(fillers)
+    once = slang.groupBy("token").agg(F.max("replacement").alias("r"))
+    keys = F.split(bare(text), " ")
+    parts = F.arrays_zip(F.split(text, " ").alias("t"), keys.alias("k"), F.slice(keys, F.lit(2), F.greatest(F.size(keys), F.lit(1))).alias("n"))
+    each = df.select(key, F.posexplode(parts).alias("pos", "p")).select(key, "pos", "p.t", "p.k", "p.n")
+    each = each.withColumn("pair", F.trim(F.concat("k", F.lit(" "), "n")))
+    singles = once.filter(~F.contains("token", F.lit(" "))).select(F.col("token").alias("k"), F.col("r").alias("one"))
+    each = each.join(singles, "k", "left").join(once.select(F.col("token").alias("pair"), F.col("r").alias("two")), "pair", "left")
+    word = F.struct("pos", F.when(F.col("k").isin(silent), "").otherwise(F.coalesce("one", "t")).alias("one"), "two")
+    whole = each.groupBy(key).agg(F.sort_array(F.collect_list(word)).alias("_w"))
+    flags = F.array_join(F.transform("_w", lambda w: F.when(w["two"].isNotNull(), "1").otherwise("0")), "")
+    # a pair takes its follower with it, so the last token of a text starts none
+    marks = F.split(F.regexp_replace(flags, "1.", "px"), "")
+    chosen = F.zip_with("_w", marks, lambda w, m: F.when(m == "x", "").when(m == "p", w["two"]).otherwise(w["one"]))
+    joined = whole.select(key, squeeze(F.array_join(chosen, " ")).alias("_out"))
+    return df.join(joined, key, "left").select(*[c for c in df.columns if c != out], F.col("_out").alias(out))
