@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
     "op6_fair_mix": mixing.sql(),
 }

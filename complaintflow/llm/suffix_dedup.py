@@ -307,3 +307,20 @@ def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every window of 100 bytes by itself; texts as hexadecimal, two digits a byte.
+SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS p, h FROM d),
+k AS (SELECT doc_id, p, md5(substring(h, CAST(2 * p + 1 AS BIGINT), 200)) AS m FROM w),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, rank() OVER (PARTITION BY m ORDER BY doc_id, p) AS place FROM k) WHERE place > 1),
+islands AS (SELECT doc_id, p, sum(CASE WHEN p - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island
+  FROM (SELECT doc_id, p, lag(p, 1, p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM islands GROUP BY doc_id, island),
+per AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY doc_id),
+cut AS (SELECT d.doc_id, len(h) // 2 AS n, coalesce(starts, []) AS starts, coalesce(ends, []) AS ends, h FROM d LEFT JOIN per USING (doc_id)),
+kept AS (SELECT doc_id, n, len(starts) AS spans, array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda i: substring(h, CAST(2 * CASE WHEN i = 0 THEN 0 ELSE ends[i] END + 1 AS BIGINT),
+                           CAST(2 * (coalesce(starts[i + 1], n) - CASE WHEN i = 0 THEN 0 ELSE ends[i] END) AS BIGINT))), '') AS rest FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - len(rest) // 2 AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+       sha256(unhex(rest)) AS kept_sha256 FROM kept"""
