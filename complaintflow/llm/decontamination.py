@@ -198,7 +198,10 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
         for k, places in candidates.items():
             item_id, item = items[k]
             answer, best, proven = item[-ANSWER_WORDS:], 0, False
-            for lo, hi in _regions(places, len(item), len(h)):
+            # the words around a place bound what any region in there can have in common
+            reach = len(item) + max(len(item) // 2, STRIDE)
+            likely = [p for p in places if _bound(item, h[max(0, p - len(item)):p + PASSAGE + reach])]
+            for lo, hi in _regions(likely, len(item), len(h)):
                 region = h[lo:hi]
                 n = common(item, region)
                 if n >= SUPPORTED * len(item) and n > best:
@@ -211,6 +214,12 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
     return search
 
 
+def _bound(item: np.ndarray, wide: np.ndarray) -> bool:
+    """Whether enough of the item's words are there at all, and then in order."""
+    least, there = SUPPORTED * len(item), set(wide.tolist())
+    return sum(w in there for w in item.tolist()) >= least and common(item, wide) >= least
+
+
 def _regions(places: list[int], item: int, n: int) -> list[tuple[int, int]]:
     """The words around candidate passages in windows of one and a half times the item, each place once."""
     size = item + max(item // 2, STRIDE)
