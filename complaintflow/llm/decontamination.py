@@ -43,20 +43,39 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _PLACES = np.random.default_rng(3).integers(1, 1 << 62, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Texts are hashed together up to about so many bytes.
+CHUNK = 1 << 19
+
+
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """A 64-bit hash for each word of each text."""
+    out, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        held.append((t or "").lower().encode("utf-8", "replace") + b"\n")
+        size += len(held[-1])
+        if size >= CHUNK or i == len(texts) - 1:
+            out += _hashed(held)
+            held, size = [], 0
+    return out
+
+
 def words(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    b = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = _WORD[b]
-    step = np.diff(inside)
+    return words_of([text])[0]
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    word = _WORD[b]
+    step = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * len(texts)
     with np.errstate(over="ignore"):
         place = np.arange(len(b)) - np.repeat(np.append(start, len(b)), np.diff(np.concatenate([[0], start[1:], [len(b), len(b)]])))
-        h = np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * inside[1:-1].astype(np.uint64) * _PLACES[place & 1023], start)
+        h = np.add.reduceat((b + np.uint64(1)) * word * _PLACES[place & 1023], start)
         h ^= h >> np.uint64(32)
-        return h * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64) * np.uint64(2)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64) * np.uint64(2)
+    return np.split(h, np.searchsorted(start, np.cumsum([len(t) for t in texts])[:-1]))
 
 
 def terms(h: np.ndarray) -> np.ndarray:
@@ -89,8 +108,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total, n = np.zeros(1 << TERM_BITS, np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total[np.unique(terms(words(text)))] += 1
+            for h in words_of(batch.column("text").to_pylist()):
+                total[np.unique(terms(h))] += 1
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
@@ -169,12 +188,11 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
             owner.append(k)
             passages.append(h[s:s + PASSAGE])
     target = (_rows(passages, vocabulary, idf) @ basis).T
-    projected = np.vstack([basis * idf[vocabulary][:, None], np.zeros((1, basis.shape[1]), np.float32)])
+    projected = basis * idf[vocabulary][:, None]
     owner = np.array(owner)
 
-    def search(text: str | None) -> list[tuple[int, float]]:
-        """(item_id, share of its words found in order) of each item that the text contains."""
-        h = words(text)
+    def search(h: np.ndarray) -> list[tuple[int, float]]:
+        """(item_id, share of its words found in order) of each item that a text of these words contains."""
         if not len(h):
             return []
         t = terms(h)
@@ -186,11 +204,18 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
         # what is outside the vocabulary is outside the space: such passages can't be near any item
         near = np.flatnonzero(known[end] - known[start] >= 0.5 * COSINE ** 2 * norm)
         candidates: dict[int, list[int]] = {}
+        # sums over runs of STRIDE words, of which a passage has two; words outside the vocabulary add nothing
+        inside = np.flatnonzero(row >= 0)
+        bounds = np.searchsorted(inside, np.arange(0, len(h) + 2 * STRIDE, STRIDE))
         for part in range(0, len(near), 512):
             some = near[part:part + 512]
-            at = start[some][:, None] + np.arange(PASSAGE)
-            rows = np.where(at < len(h), row[np.minimum(at, len(h) - 1)], -1)
-            z = projected[rows].sum(1)
+            lo, hi = some[0], some[-1] + 2
+            mine = inside[bounds[lo]:bounds[hi]]
+            sums = np.zeros((hi - lo, projected.shape[1]), np.float32)
+            filled = np.flatnonzero(np.diff(bounds[lo:hi + 1]))
+            if len(mine):
+                sums[filled] = np.add.reduceat(projected[row[mine]], bounds[lo:hi][filled] - bounds[lo])
+            z = sums[some - lo] + sums[some - lo + 1]
             cosine = (z @ target) / np.sqrt(norm[some])[:, None]
             for i, j in zip(*np.nonzero(cosine >= COSINE)):
                 candidates.setdefault(int(owner[j]), []).append(int(start[some[i]]))
@@ -273,7 +298,7 @@ def _search(docs: DataFrame, shipped) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "search" not in cached:
             cached["search"] = _searcher(*shipped.value)
-        hits = [cached["search"](t) for t in batch.column("text").to_pylist()]
+        hits = [cached["search"](h) for h in words_of(batch.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([[i for i, _ in x] for x in hits], pa.list_(pa.int64())), pa.array([[s for _, s in x] for x in hits], pa.list_(pa.float64()))],
             ["doc_id", "item_ids", "shares"])
