@@ -208,19 +208,25 @@ def _cut(contexts: DataFrame, piece: int) -> DataFrame:
     """Entries for the pieces of ``piece`` windows of each context; pieces are counted from the suffix, so they line up."""
 
     def entries(batch):
-        for core, doc, start, shape, data in zip(*(batch.column(c).to_pylist() for c in ("core", "doc_id", "start", "shape", "bytes"))):
-            n, place = divmod(shape, 128)
-            h = Hasher(data)
-            first = np.arange(n)
-            number = (first - place + MATCH) // piece  # the same for windows with the suffix in the same places
-            head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            tail = np.append(head[1:], n) - 1
-            whole = number[head] * piece + place - MATCH  # where the piece's first window would be
-            seed = _mix(np.uint64(core & ((1 << 64) - 1)) + number[head].astype(np.uint64) * np.uint64(_BASE))
-            shared = h(whole + piece - 1, whole + MATCH) ^ seed
-            form = (tail - head + 1) * 128 + head - whole
-            yield (shared.view(np.int64), (h(head, tail + MATCH) + form.astype(np.uint64) * np.uint64(_BASE)).view(np.int64),
-                   np.full(len(head), doc, np.int64), start + head, (tail - head + 1) * 128)
+        data = text_bytes(batch.column("bytes"))
+        if not data:
+            return
+        core, doc, start, shape = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("core", "doc_id", "start", "shape"))
+        n, place = shape // 128, shape % 128
+        h, size = Hasher(b"".join(data)), np.array([len(x) for x in data])
+        at = np.cumsum(size) - size  # where each context begins in the joined bytes; no slice leaves its context
+        of = np.repeat(np.arange(len(n)), n)
+        first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        number = (first - place[of] + MATCH) // piece  # the same for windows with the suffix in the same places
+        head = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (of[1:] != of[:-1])]))
+        tail, of, number = np.append(head[1:], len(number)) - 1, of[head], number[head]
+        windows, head = tail - head + 1, first[head]
+        whole = number * piece + place[of] - MATCH  # where the piece's first window would be
+        seed = _mix(core[of].view(np.uint64) + number.astype(np.uint64) * np.uint64(_BASE))
+        shared = h(at[of] + whole + piece - 1, at[of] + whole + MATCH) ^ seed
+        form = windows * 128 + head - whole
+        span = h(at[of] + head, at[of] + head + windows - 1 + MATCH) + form.astype(np.uint64) * np.uint64(_BASE)
+        yield shared.view(np.int64), span.view(np.int64), doc[of], start[of] + head, windows * 128
 
     return contexts.mapInArrow(lambda batches: _gathered(batches, entries), ROWS)
 
@@ -267,13 +273,14 @@ class SuffixIndex:
         return _intervals(scanned).union(_intervals(pieces)).union(_intervals(windows))
 
     def _keep(self, rank: int, level: DataFrame) -> None:
-        """Stores a level; equal ranks merge into the next."""
+        """Adds a level; equal ranks merge into the next. A batch's own array is what the scan has stored."""
+        merged = False
         while same := next((x for x in self.levels if x[0] == rank), None):
             self.levels.remove(same)
             first = F.min(F.struct("doc_id", "start", "shape")).alias("first")
             level = level.union(same[1]).groupBy("core", "span").agg(first).select("core", "span", "first.*")
-            rank += 1
-        self.levels.append((rank, stored(level.sortWithinPartitions("core", "span"))))
+            rank, merged = rank + 1, True
+        self.levels.append((rank, stored(level.sortWithinPartitions("core", "span")) if merged else level))
 
 
 def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
