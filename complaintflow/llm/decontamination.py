@@ -8,7 +8,9 @@ is long but not decisive, by whether the item's answer is there as well. Paraphr
 half of them and the answer, are found like verbatim passages.
 
 The space is fitted to the benchmark's passages and not the corpus's: a space of few dimensions fitted to a corpus describes
-its topics and can't tell single items apart. The benchmark is a stated query set, searched in blocks of ``BLOCK`` items.
+its topics and can't tell single items apart. The benchmark is a stated query set, searched in blocks of up to ``PASSAGES``
+passages. The rank of a block's space is the number of its passages: it holds each of them whole, so the cosine with any text
+is the exact one and no copy is lost to a smaller space.
 
 Defined results: null and empty texts have no passages and are clean; items without words are never found; repeated rows are
 judged each; empty tables give an empty result or clean documents; extra columns are ignored. Words are runs of letters and
@@ -17,6 +19,9 @@ digits without case.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +33,9 @@ from complaintflow.llm.shared import arrow_map, columns, stored, table
 PASSAGE = 40
 STRIDE = 20
 TERM_BITS = 18
-DIMENSIONS = 256
 OVERSAMPLING = 16
+#: Passages in a block, unless one item has more, and items that are read together to make blocks.
+PASSAGES = 512
 BLOCK = 512
 COSINE = 0.35
 #: Share of an item's words in common order that decides alone, and the share that needs the answer too.
@@ -187,8 +193,8 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
         for s in windows(len(h)):
             owner.append(k)
             passages.append(h[s:s + PASSAGE])
-    target = (_rows(passages, vocabulary, idf) @ basis).T
-    projected = basis * idf[vocabulary][:, None]
+    # what each word adds to its passage's product with every benchmark passage in the space
+    products = (basis * idf[vocabulary][:, None]) @ (_rows(passages, vocabulary, idf) @ basis).T
     owner = np.array(owner)
 
     def search(h: np.ndarray) -> list[tuple[int, float]]:
@@ -211,12 +217,11 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
             some = near[part:part + 512]
             lo, hi = some[0], some[-1] + 2
             mine = inside[bounds[lo]:bounds[hi]]
-            sums = np.zeros((hi - lo, projected.shape[1]), np.float32)
+            sums = np.zeros((hi - lo, products.shape[1]), np.float32)
             filled = np.flatnonzero(np.diff(bounds[lo:hi + 1]))
             if len(mine):
-                sums[filled] = np.add.reduceat(projected[row[mine]], bounds[lo:hi][filled] - bounds[lo])
-            z = sums[some - lo] + sums[some - lo + 1]
-            cosine = (z @ target) / np.sqrt(norm[some])[:, None]
+                sums[filled] = np.add.reduceat(products[row[mine]], bounds[lo:hi][filled] - bounds[lo])
+            cosine = (sums[some - lo] + sums[some - lo + 1]) / np.sqrt(norm[some])[:, None]
             for i, j in zip(*np.nonzero(cosine >= COSINE)):
                 candidates.setdefault(int(owner[j]), []).append(int(start[some[i]]))
         found = []
@@ -259,6 +264,26 @@ def _contains(text: np.ndarray, answer: np.ndarray) -> bool:
     return any(np.array_equal(text[i:i + len(answer)], answer) for i in at)
 
 
+def _of(benchmark: DataFrame, ids: list) -> DataFrame:
+    return benchmark.filter(F.col("item_id").isin([i for i in ids if i is not None]) | (F.col("item_id").isNull() if None in ids else F.lit(False)))
+
+
+def _blocks(benchmark: DataFrame, ids: list) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items that have words, in blocks of up to ``PASSAGES`` passages; rows of one item_id stay together."""
+    for at in range(0, len(ids), BLOCK):
+        rows = _of(benchmark, ids[at:at + BLOCK]).select("item_id", "text").orderBy("item_id", "text").collect()
+        block, size = [], 0
+        for _, same in groupby(rows, lambda r: r["item_id"]):
+            items = [(r["item_id"], h) for r in same if len(h := words(r["text"]))]
+            n = sum(len(windows(len(h))) for _, h in items)
+            if block and size + n > PASSAGES:
+                yield block
+                block, size = [], 0
+            block, size = block + items, size + n
+        if block:
+            yield block
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids, best_share."""
     spark = docs.sparkSession
@@ -266,27 +291,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = [r["item_id"] for r in benchmark.select("item_id").distinct().orderBy("item_id").collect()]
     kept = columns(docs, "doc_id", "text")
     found = None
-    for at in range(0, len(ids), BLOCK):
-        block = ids[at:at + BLOCK]
-        chosen = benchmark.filter(F.col("item_id").isin([i for i in block if i is not None]) | (F.col("item_id").isNull() if None in block else F.lit(False)))
-        items = [(r["item_id"], words(r["text"])) for r in chosen.select("item_id", "text").orderBy("item_id", "text").collect()]
-        items = [(i, h) for i, h in items if len(h)]
-        if not items:
-            continue
+    several = False
+    for items in _blocks(benchmark, ids):
         vocabulary = np.unique(terms(np.concatenate([h for _, h in items])))
+        chosen = _of(benchmark, list(dict.fromkeys(i for i, _ in items)))
 
         def cut(frames):
             for f in frames:
                 yield pd.DataFrame({"hashes": [h[s:s + PASSAGE].tobytes() for h in map(words, f["text"]) for s in windows(len(h)) if len(h)]})
 
         passages = stored(chosen.select("text").mapInPandas(cut, "hashes binary"))
-        basis = latent_space(passages, vocabulary, idf, DIMENSIONS)
+        basis = latent_space(passages, vocabulary, idf, sum(len(windows(len(h))) for _, h in items))
         shipped = spark.sparkContext.broadcast((items, vocabulary, idf, basis))
         part = _search(kept, shipped)
-        found = part if found is None else found.union(part)
+        several, found = found is not None, part if found is None else found.union(part)
     if found is None:
         found = kept.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("shares"))
-    if len(ids) > BLOCK:
+    if several:
         found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("shares")).alias("shares"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"),
                         F.coalesce(F.array_max("shares"), F.lit(0.0)).alias("best_share"))
