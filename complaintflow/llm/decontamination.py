@@ -234,9 +234,9 @@ def _searcher(items: list[tuple[int, np.ndarray]], vocabulary, idf, basis):
             for lo, hi in _regions(likely, len(item), len(h)):
                 region = h[lo:hi]
                 n = common(item, region)
-                if n >= SUPPORTED * len(item) and n > best:
-                    best = n
-                    proven = n >= DECISIVE * len(item) or _contains(region, answer)
+                best = max(best, n)
+                # any place may decide, not only the fullest
+                proven = proven or n >= DECISIVE * len(item) or (n >= SUPPORTED * len(item) and _contains(region, answer))
             if proven:
                 found.append((item_id, best / len(item)))
         return found

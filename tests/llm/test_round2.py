@@ -33,3 +33,14 @@ def test_blocks_hold_all_items_and_few_passages(spark):
     assert sorted((i or -1, len(h)) for b in blocks for i, h in b) == sorted((i or -1, len(t.split())) for i, t in items if t)
     for b in blocks:
         assert sum(len(decontamination.windows(len(h))) for _, h in b) <= decontamination.PASSAGES or {i for i, _ in b} == {701}
+
+
+def test_any_place_of_an_item_may_prove_it(spark):
+    item = [f"item{i}" for i in range(100)]
+    filler = " ".join(f"filler{i}" for i in range(500))
+    answered, fuller = " ".join(item[45:]), " ".join(item[:60])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(1, f"{answered} {filler} {fuller}"), (2, f"{fuller} {filler} {answered}"), (3, f"{filler} {fuller}"), (4, answered)]
+    got = {r["doc_id"]: r for r in decontamination.contamination(frame(spark, rows), bench).collect()}
+    assert {i: r["contaminated"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True}
+    assert got[1]["best_share"] == got[2]["best_share"] == 0.6
