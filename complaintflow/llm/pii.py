@@ -6,7 +6,8 @@ format's values, so equal values get equal pseudonyms in all documents and diffe
 credentials are permuted character by character within their alphabets, half against half.
 
     card     Luhn-valid, 13 to 19 digits, plain or in groups; first digit and separators stay, the check digit is renewed
-    phone    North American numbers; country code and punctuation stay, area and exchange stay valid
+    phone    North American numbers as written; country code and punctuation stay. Areas and exchanges that may be dialled
+             (200 and up) stay so; the other numbers are permuted among themselves
     ip       four octets
     date     YYYY-MM-DD, DD.MM.YYYY and DD/MM/YYYY from 1901 to 2096, moved within its 28 years
     ssn      valid areas, groups and serials
@@ -33,7 +34,7 @@ ROUNDS = 10
 # Formats. No group repeats over alternatives, so that the matcher needs no deep stack on long texts.
 SECRET = r"(?<![A-Za-z0-9_])(?:(?i:password|passwd|token|secret|api_key) ?[=:] ?\"?[A-Za-z0-9_\-]{12,}+\"?|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){1,8}"
-PHONE = r"(?<![\w+.\-])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![\w\-])"
+PHONE = r"(?<![\w+.\-])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])"
 IP = r"(?<![\w.\-])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![\w\-]|\.[0-9])"
 DATE = r"(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w\-/]|\.[0-9])"
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
@@ -123,9 +124,14 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
-    area, rest = F.substr(d, F.length(d) - 9, F.lit(3)).cast("int") - 200, F.right(d, F.lit(7)).cast("long") - 2_000_000
-    p = feistel("phone", key, area, rest, 800, 8_000_000)
-    return _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), (p["l"] + 200).cast("string"), (p["r"] + 2_000_000).cast("string")))
+    area, rest = F.substr(d, F.length(d) - 9, F.lit(3)).cast("int"), F.right(d, F.lit(7)).cast("long")
+    # three domains that together hold all ten-digit numbers: valid ones, areas below 200, exchanges below 200 in other areas
+    low_area, low_rest = area < 200, rest < 2_000_000
+    first = F.when(low_area, 0).otherwise(200)
+    from_rest = F.when(low_area | low_rest, 0).otherwise(2_000_000)
+    p = feistel("phone", key, area - first, rest - from_rest, F.when(low_area, 200).otherwise(800).cast("long"),
+                F.when(low_area, 10_000_000).when(low_rest, 2_000_000).otherwise(8_000_000).cast("long"))
+    return _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), _pad(p["l"] + first, 3), _pad(p["r"] + from_rest, 7)))
 
 
 def _ip(m: Column, key: str) -> Column:

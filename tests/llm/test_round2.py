@@ -1,8 +1,9 @@
 """Cases of the second review: whole results where an operator did less."""
 
 import random
+import re
 
-from complaintflow.llm import decontamination
+from complaintflow.llm import decontamination, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +45,21 @@ def test_any_place_of_an_item_may_prove_it(spark):
     got = {r["doc_id"]: r for r in decontamination.contamination(frame(spark, rows), bench).collect()}
     assert {i: r["contaminated"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True}
     assert got[1]["best_share"] == got[2]["best_share"] == 0.6
+
+
+# --------------------------------------------------------------------------- 2: pseudonyms
+def test_phone_numbers_of_all_areas_are_permuted(spark):
+    rng = random.Random(13)
+    numbers = {f"+1 ({a}) 555-{n}" for a, n in (("017", "7713"), ("132", "1352"), ("000", "0000"), ("199", "9999"), ("200", "0000"))}
+    numbers |= {f"+1 ({rng.randrange(1000):03d}) {rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(300)}
+    numbers |= {f"({a}) 199-{n:04d}" for a in (200, 999) for n in range(20)} | {"017-055-1234", "1 099.555.1234"}
+    numbers = sorted(numbers)
+    out = pii.pseudonymise(frame(spark, [(i, f"call {n}.") for i, n in enumerate(numbers)]), count="n")
+    got = {r["doc_id"]: (r["text"][5:-1], r["n"]) for r in out.collect()}
+    assert all(n == 1 for _, n in got.values()) and sum(got[i][0] == x for i, x in enumerate(numbers)) <= 1
+    digits = lambda x: re.sub("[0-9]", "0", x[2:] if x.startswith(("+1", "1 ")) else x)
+    dialled = lambda x: re.sub("[^0-9]", "", x)[-10:][0] > "1" and re.sub("[^0-9]", "", x)[-7] > "1"
+    for i, x in enumerate(numbers):
+        assert digits(got[i][0]) == digits(x) and dialled(got[i][0]) == dialled(x)
+    values = [re.sub("[^0-9]", "", x)[-10:] for x in numbers]
+    assert len({re.sub("[^0-9]", "", y)[-10:] for y, _ in got.values()}) == len(set(values))
