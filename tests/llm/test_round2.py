@@ -3,7 +3,7 @@
 import random
 import re
 
-from complaintflow.llm import decontamination, pii
+from complaintflow.llm import decontamination, pii, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +63,19 @@ def test_phone_numbers_of_all_areas_are_permuted(spark):
         assert digits(got[i][0]) == digits(x) and dialled(got[i][0]) == dialled(x)
     values = [re.sub("[^0-9]", "", x)[-10:] for x in numbers]
     assert len({re.sub("[^0-9]", "", y)[-10:] for y, _ in got.values()}) == len(set(values))
+
+
+# --------------------------------------------------------------------------- 8: quality rules
+def test_milder_junk_is_rejected(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(rng.randint(80, 400))]
+        if i % 20 == 0:  # half the words with one symbol
+            words = [x + "#" * (rng.random() < 0.5) for x in words]
+        if i % 20 == 1:  # a sixth of the words in capitals
+            words = [x.upper() if rng.random() < 0.17 else x for x in words]
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.assess(frame(spark, rows)).collect()}
+    assert [i for i in range(600) if got[i] == (i % 20 < 2)] == []
