@@ -27,18 +27,25 @@ BLOCKS = 6
 SHINGLE = 3
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits over the XXH64 (seed 42) of all word shingles; bytes split and lower-case as ASCII does."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) of each word shingle; bytes split and lower-case as ASCII does."""
     words = b" ".join(text.lower().split())
+    digest = xxhash.xxh64_intdigest
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
     if len(gaps) < shingle:
-        return xxhash.xxh64_intdigest(words, 42)
+        return np.array([digest(words, 42)], "<u8")
     starts = [0, *(gaps[: len(gaps) - shingle + 1] + 1).tolist()]
     ends = [*gaps[shingle - 1:].tolist(), len(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(words[s:e], 42) for s, e in zip(starts, ends)), "<u8", len(starts))
+    return np.fromiter((digest(words[s:e], 42) for s, e in zip(starts, ends)), "<u8", len(starts))
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits over the hashes of all word shingles."""
+    hashes = shingles(text, shingle)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(BITS, np.int64)
     for part in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[part:part + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
