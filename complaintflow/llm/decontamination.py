@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from complaintflow.llm.shared import arrow_map, columns, stored, table
 
@@ -284,14 +285,15 @@ def _blocks(benchmark: DataFrame, ids: list) -> Iterator[list[tuple[int, np.ndar
             yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, item_ids, best_share."""
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, contaminated, item_ids, best_share: one row for each row of ``docs``, whatever its doc_id.
+
+    All blocks are searched in one pass over the documents.
+    """
     spark = docs.sparkSession
     idf = document_frequencies(docs)
     ids = [r["item_id"] for r in benchmark.select("item_id").distinct().orderBy("item_id").collect()]
-    kept = columns(docs, "doc_id", "text")
-    found = None
-    several = False
+    shipped = []
     for items in _blocks(benchmark, ids):
         vocabulary = np.unique(terms(np.concatenate([h for _, h in items])))
         chosen = _of(benchmark, list(dict.fromkeys(i for i, _ in items)))
@@ -302,29 +304,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         passages = stored(chosen.select("text").mapInPandas(cut, "hashes binary"))
         basis = latent_space(passages, vocabulary, idf, sum(len(windows(len(h))) for _, h in items))
-        shipped = spark.sparkContext.broadcast((items, vocabulary, idf, basis))
-        part = _search(kept, shipped)
-        several, found = found is not None, part if found is None else found.union(part)
-    if found is None:
-        found = kept.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("shares"))
-    if several:
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("shares")).alias("shares"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"),
+        shipped.append(spark.sparkContext.broadcast((items, vocabulary, idf, basis)))
+    found = _search(columns(docs, *dict.fromkeys([*keep, "text"])), keep, shipped)
+    return found.select(*keep, (F.size("item_ids") > 0).alias("contaminated"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"),
                         F.coalesce(F.array_max("shares"), F.lit(0.0)).alias("best_share"))
 
 
-def _search(docs: DataFrame, shipped) -> DataFrame:
-    cached: dict = {}
+def _search(docs: DataFrame, keep: tuple[str, ...], shipped: list) -> DataFrame:
+    cached: list = []
+    schema = StructType([docs.schema[k] for k in keep]).add("item_ids", ArrayType(LongType())).add("shares", ArrayType(DoubleType()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "search" not in cached:
-            cached["search"] = _searcher(*shipped.value)
-        hits = [cached["search"](h) for h in words_of(batch.column("text").to_pylist())]
+        if not cached:
+            cached.extend(_searcher(*s.value) for s in shipped)
+        hits = [[x for search in cached for x in search(h)] for h in words_of(batch.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([[i for i, _ in x] for x in hits], pa.list_(pa.int64())), pa.array([[s for _, s in x] for x in hits], pa.list_(pa.float64()))],
-            ["doc_id", "item_ids", "shares"])
+            [*(batch.column(k) for k in keep), pa.array([[i for i, _ in x] for x in hits], pa.list_(pa.int64())),
+             pa.array([[s for _, s in x] for x in hits], pa.list_(pa.float64()))], [*keep, "item_ids", "shares"])
 
-    return arrow_map(docs, run, "doc_id long, item_ids array<long>, shares array<double>")
+    return arrow_map(docs, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ blocks, so they meet in one of the 20 choices of three blocks (32 bits, so that
 meeting is verified by Hamming distance and reported for the first choice only. Copies of one fingerprint are one node.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; texts of one or two words are one
-shingle; repeated rows share a fingerprint; an empty table gives an empty result; extra columns are ignored.
+shingle; repeated rows share a fingerprint; rows without doc_id link others like any row, and a group without any doc_id
+has component_id null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from complaintflow.llm.components import components
 from complaintflow.llm.shared import arrow_map, columns, stored, table, text_bytes
@@ -52,14 +54,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+    """``keep`` and fp (the 64 bits as a signed long), one row for each row."""
+    rows = columns(docs, *keep, "text")
+    schema = StructType([rows.schema[k] for k in keep]).add("fp", "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.array([fingerprint(t) for t in text_bytes(batch.column("text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+        bits = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], np.uint64)
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(bits.view(np.int64))], [*keep, "fp"])
 
-    return arrow_map(columns(docs, "doc_id", "text"), run, "doc_id long, fp long")
+    return arrow_map(rows, run, schema)
 
 
 def _block_masks() -> list[int]:
@@ -92,17 +96,28 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, (left["t"] == right["t"]) & (left["key"] == right["key"]) & near).select("a", "b")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """fp, class (the smallest fingerprint reachable over links) for the distinct fingerprints of ``fps``."""
+    distinct = stored(fps.select("fp").distinct())
+    found = components(links(distinct).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return (distinct.join(found, distinct["fp"] == found["node"], "left")
+            .select("fp", F.coalesce("component", "fp").alias("class")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id among the documents reachable over links."""
     fps = stored(fingerprints(docs))
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    pairs = links(classes.select("fp"))
-    edges = (pairs.join(classes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a")
-             .join(classes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v"))
-    found = components(edges)
-    labelled = (classes.join(found, "node", "left")
-                .select("fp", F.coalesce("component", "node").alias("component_id")))
-    return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    smallest = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(classes(fps), "fp")
+    named = smallest.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return fps.join(smallest.select("fp", "class").join(named, "class"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The columns ``order`` of one row of each group of near duplicates: the least by these columns, nulls last."""
+    fps = stored(fingerprints(rows, tuple(order)))
+    ranked = F.struct(*(c for o in order for c in (F.col(o).isNull().alias(f"null_{o}"), F.col(o))))
+    least = fps.groupBy("fp").agg(F.min(ranked).alias("first")).join(classes(fps), "fp")
+    return least.groupBy("class").agg(F.min("first").alias("first")).select(*(F.col("first")[o].alias(o) for o in order))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

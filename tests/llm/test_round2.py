@@ -3,7 +3,6 @@
 import random
 import re
 
-import corpus_pipeline
 from complaintflow.llm import decontamination, pii, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,41 +79,3 @@ def test_milder_junk_is_rejected(spark):
         rows.append((i, " ".join(words)))
     got = {r["doc_id"]: r["kept"] for r in quality_rules.assess(frame(spark, rows)).collect()}
     assert [i for i in range(600) if got[i] == (i % 20 < 2)] == []
-
-
-# --------------------------------------------------------------------------- pipeline: near duplicates
-def test_near_copies_against_brute_force(spark):
-    rng = random.Random(15)
-    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(2000)]
-    texts = []
-    for _ in range(25):
-        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
-        texts.append(base)
-        for changes in (1, 1, 2, 3, 4, 6, 8, 12):
-            copy = list(base)
-            for _ in range(max(1, round(changes * len(base) / 400))):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            texts.append(copy)
-        texts.append(base[: int(len(base) * 0.83)])
-    crowd = [rng.choice(words) for _ in range(200)]
-    for i in range(60):
-        texts.append([*crowd[:i * 3], rng.choice(words), *crowd[i * 3 + 1:]])
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9001, None), (9002, ""), (9003, "a b"), (9004, "A  b"), (9005, "b a")]
-    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    links = 0
-    for i in sets:
-        for j in sets:
-            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                links += 1
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    assert links > 500
-    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if root(i) == i)
