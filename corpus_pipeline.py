@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complaintflow.llm import classifier, decontamination, mixing, near_copies, pii
+from complaintflow.llm import classifier, decontamination, mixing, pii, simhash
 from complaintflow.llm.shared import stored, table
 
 #: SQL can't express the classifier, the fingerprints or the latent space.
@@ -26,19 +26,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard of five-word shingles 0.8 or more, linked): that with the smallest
-    doc_id, of equal ones the first by text. Rows without doc_id come last in their group."""
-    group, number = _new("group", docs.columns), _new("number", docs.columns)
-    order = [F.col("doc_id").asc_nulls_last(), *(c for c in ("text", "lang", "source", "n_chars") if c in docs.columns)]
-    return (near_copies.groups(docs, group).withColumn(number, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-            .filter(F.col(number) == 1).select(*docs.columns))
+    """One document of each group of near copies (SimHash over three-word shingles, linked at three bits): that with the
+    smallest doc_id, null last; of several rows with that doc_id the one with the smallest digest of its columns.
+    Only digests and fingerprints meet; the texts are looked up once for the rows that stay."""
+    digest = _new("digest", docs.columns)
+    rows = docs.withColumn(digest, F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
+    first = stored(simhash.representatives(rows, ["doc_id", digest]))
+    same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows[digest] == first[digest])
+    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    ids = stored(found.filter("contaminated").select("doc_id").distinct())
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti").select(*docs.columns)
+    """Documents without benchmark passages: each row by its own verdict."""
+    names = {c: _new(c, [*docs.columns, *_OWN]) if c in _OWN else c for c in docs.columns}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    found = decontamination.contamination(renamed, table(spark, sf_dir, "benchmark"), tuple(names.values()))
+    return found.filter(~F.col("contaminated")).select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
+
+
+#: What the search adds to the columns of a document.
+_OWN = ("contaminated", "item_ids", "best_share", "shares")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
