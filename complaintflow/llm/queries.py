@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from complaintflow.llm import classifier, decontamination, html_text, mixing, pii, quality_rules, sentence_dedup, simhash, suffix_dedup, tool_calls
+from complaintflow.llm import (
+    classifier, decontamination, html_text, mixing, periodic_runs, pii, prefix_trie, projection_forest, quality_rules, sentence_dedup, simhash,
+    suffix_dedup, tool_calls)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,9 +17,13 @@ QUERIES = {
     "op8_robust_outliers": quality_rules.query,
     "op9_simhash": simhash.query,
     "op10_sentence_spans": sentence_dedup.query,
+    "op11_projection_forest": projection_forest.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {
     "op1_suffix_dedup": suffix_dedup.SQL,
     "op6_fair_mix": mixing.sql(),
+    "op12_prefix_trie": prefix_trie.SQL,
 }

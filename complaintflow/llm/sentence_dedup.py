@@ -10,8 +10,9 @@ The first place of each hash is found by an aggregate, so a passage that a third
 task before it is shuffled; the join back is one that adaptive execution can split.
 
 Defined results: a null text stays null, texts without words stay as they are; a null doc_id is smaller than any other;
-texts shorter than a run are never removed; rows that repeat a doc_id with the same text are one document; an empty table
-gives an empty result; extra columns are ignored. doc_id identifies a text. Hashes have 128 bits.
+texts shorter than a run are never removed; rows that repeat a doc_id with the same text are one document, several texts of
+one doc_id (or of none) are documents in the order of their MD5; an empty table gives an empty result; extra columns are
+ignored. Hashes have 128 bits.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from complaintflow.llm.shared import columns, stored, table, text_bytes
+from complaintflow.llm.shared import numbered, stored, table, text_bytes
 
 MIN_WORDS = 20
-NO_ID = -(1 << 63)
 _SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+(?=[ \t\r\x0b\x0c])|(?=\n)|\Z)[ \t\r\x0b\x0c]*\n*")
 
 
@@ -87,8 +87,8 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, text (what is left)."""
-    texts = columns(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    gone = repeated(stored(spans(texts))).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    texts = numbered(docs)
+    gone = repeated(stored(spans(texts.select("doc_id", "text")))).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
 
     def cut(batches):
         for batch in batches:
@@ -103,12 +103,11 @@ def remove(docs: DataFrame) -> DataFrame:
                 total.append(len(parts))
                 removed.append(int((~keep).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
+                [batch.column("own_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
                 ["doc_id", "n_sentences", "n_removed", "text"])
 
-    return (texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-            .mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, text string")
-            .withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
+    return (texts.join(gone, "doc_id", "left").select("own_id", "text", "gone")
+            .mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, text string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,26 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+#: Stands for a null doc_id: smaller than any other.
+NO_ID = -(1 << 63)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """own_id (the doc_id as it is), doc_id (a number for it, never null, in the same order), text.
+
+    Where a doc_id, or no doc_id, stands for several texts, each (doc_id, text) gets a number of its own, in the order of the
+    MD5 of the texts. Rows that repeat both are one document. As long as no doc_id does, ids are their own numbers.
+    """
+    rows = columns(docs, "doc_id", "text").select(F.col("doc_id").alias("own_id"), "text")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    several = rows.groupBy("own_id").agg((F.min(digest) != F.max(digest)).alias("several")).filter("several")
+    if several.isEmpty():
+        return rows.select("own_id", F.coalesce("own_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = rows.withColumn("digest", digest)
+    keys = rows.select("own_id", "digest").distinct().repartitionByRange("own_id", "digest").sortWithinPartitions("own_id", "digest")
+    # partitions follow the order, and so do the identifiers of their rows; stored, so that they stay what they are
+    keys = stored(keys.withColumn("doc_id", F.monotonically_increasing_id())).withColumnRenamed("own_id", "key_id").withColumnRenamed("digest", "key_digest")
+    return (rows.join(keys, F.col("own_id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_digest")))
+            .select("own_id", "doc_id", "text"))

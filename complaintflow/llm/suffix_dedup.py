@@ -19,8 +19,9 @@ within its own rows, so a string that a third of all documents share arrives at
 Earlier means: smaller doc_id, or the same doc_id and an earlier start, in whatever order batches come.
 
 Defined results: null texts are empty; texts of under 100 bytes are kept as they are; a null doc_id counts as smaller than
-any other; rows that repeat a doc_id with the same text are one document in one place, so neither removes the other; an
-empty table gives an empty result; extra columns are ignored. doc_id identifies a text. Fingerprints have 128 bits.
+any other; rows that repeat a doc_id with the same text are one document in one place, so neither removes the other; several
+texts of one doc_id (or of none) are documents in the order of their MD5; an empty table gives an empty result; extra columns
+are ignored. Fingerprints have 128 bits.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from complaintflow.llm.shared import columns, stored, table, text_bytes
+from complaintflow.llm.shared import numbered, stored, table, text_bytes
 
 MATCH = 100
 PREFIX = 32
@@ -42,7 +43,6 @@ BATCHES = 2
 #: Entries that a task holds before it settles and passes them on.
 HELD = 1 << 20
 
-NO_ID = -(1 << 63)
 ROWS = "core long, span long, doc_id long, start int, shape int, kind byte"
 ENTRY, FOUND, LEVEL = 0, 1, 2  # kinds of row: of the batch, an interval settled in its task, of a level
 
@@ -285,10 +285,10 @@ class SuffixIndex:
 
 def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    texts = columns(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    texts = numbered(docs)
     index, found = SuffixIndex(), None
     for i in range(batches):
-        part = index.add(texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), final=i == batches - 1)
+        part = index.add(texts.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), final=i == batches - 1)
         found = part if found is None else found.union(part)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -304,12 +304,11 @@ def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 out.append((len(text), len(text) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept))
             n, gone, runs, digest, kept = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+                [batch.column("own_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return texts.join(spans, "doc_id", "left").select("own_id", "text", "spans").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
