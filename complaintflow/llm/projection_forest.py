@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +108,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
+def _first(lists: pa.ChunkedArray) -> np.ndarray:
+    """The first element of each list."""
+    return np.asarray(pc.list_element(lists, 0))
+
+
 def _nearest(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact distances of the k nearest rows by (distance, id)."""
     rough = np.einsum("ij,ij->i", vectors, vectors) - 2 * (vectors @ query)
@@ -122,10 +128,10 @@ def _nearest(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) ->
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """embedding, ids: the k + 1 smallest vec_ids of equal vectors, class_id the first of them."""
+    """embedding, ids: the k + 1 smallest vec_ids of equal vectors, class_id: a number for them (stored rows keep it)."""
     order = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
-    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class_id", F.col("ids")[0])
+    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class_id", F.monotonically_increasing_id())
 
 
 def _probe(classes: DataFrame, forest: Forest, dim: int, k: int, n: int, recall: float) -> int:
@@ -139,7 +145,7 @@ def _probe(classes: DataFrame, forest: Forest, dim: int, k: int, n: int, recall:
     def compare(batches):
         names, vectors, forest = probes.value
         for batch in batches:
-            ids, rows = np.asarray(batch.column("class_id")), _matrix(batch.column("embedding"), dim)
+            ids, rows = np.asarray(batch.column("class_id")), _matrix(batch.column("embedding"), dim)  # any order of ties will do here
             out = []
             for p, q in zip(names.tolist(), vectors):
                 other = np.flatnonzero(ids != p)
@@ -164,7 +170,7 @@ def _probe(classes: DataFrame, forest: Forest, dim: int, k: int, n: int, recall:
 
 def _share(of: int, n: int, salt: str) -> Column:
     """About ``of`` of n rows, the same ones in each run."""
-    return F.lit(n <= of) | (F.pmod(F.xxhash64("class_id", F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, of / n)))
+    return F.lit(n <= of) | (F.pmod(F.xxhash64(F.col("ids")[0], F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, of / n)))
 
 
 def _search(index: DataFrame, queries: DataFrame, forest, dim: int, least: int, pieces: int, k: int) -> DataFrame:
@@ -190,7 +196,7 @@ def _search(index: DataFrame, queries: DataFrame, forest, dim: int, least: int,
     def compare(visitors: pa.Table, members: pa.Table) -> pa.Table:
         found = []
         if visitors.num_rows and members.num_rows:
-            ids, rows = np.asarray(members["class_id"]), _matrix(members["embedding"], dim)
+            ids, rows = _first(members["ids"]), _matrix(members["embedding"], dim)
             for q, v in zip(visitors["query"].to_pylist(), _matrix(visitors["vector"], dim)):
                 at, far = _nearest(v, rows, ids, k + 1)
                 found.append((np.full(len(at), q), at, far))
@@ -209,9 +215,9 @@ def _search(index: DataFrame, queries: DataFrame, forest, dim: int, least: int,
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """query, near: (score, vec_id) of its k + 1 nearest rows; a class found in several trees counts once."""
-    order = Window.partitionBy("query").orderBy("score", "class_id")
+    order = Window.partitionBy("query").orderBy("score", F.col("ids")[0], "class_id")
     few = found.withColumn("at", F.dense_rank().over(order)).filter(F.col("at") <= k + 1)
-    once = few.groupBy("query").agg(F.collect_set(F.struct("score", "ids")).alias("c"))
+    once = few.groupBy("query").agg(F.collect_set(F.struct("score", "ids", "class_id")).alias("c"))
     rows = F.flatten(F.transform("c", lambda c: F.transform(c["ids"], lambda i: F.struct(c["score"].alias("score"), i.alias("vec_id")))))
     return once.select("query", F.slice(F.sort_array(rows), 1, k + 1).alias("near"))
 
