@@ -14,9 +14,9 @@ from complaintflow.checks import duck as k
 from complaintflow.checks import views as v
 from complaintflow.functions import classify, labels, normalize, sentiment, text
 from complaintflow.functions import lexicon as lx
-from complaintflow.operators import ingest, metrics, reconcile, scoring, training, training_sets
+from complaintflow.operators import ingest, metrics, reconcile, scoring, training_rounds, training_sets
 from complaintflow.operators.taxonomy import Taxonomy, match_answer
-from complaintflow.plans import analysis, evaluation, reporting
+from complaintflow.plans import analysis, evaluation, reporting, rollups, search_index
 from complaintflow.sources import tables
 from complaintflow.streaming import incremental
 
@@ -690,6 +690,42 @@ def _(s, d):
     return reporting.drill_down(analysis.analyze(v.reviews(s, d), v.fixture_taxonomy(s), columns=reporting.DRILL_COLUMNS))
 
 
+def _parts(s, d):
+    """The stored results, counted in three batches of which the second holds an earlier part of the days and comes twice."""
+    parts, results, reviews = rollups.Parts(s, tables.scratch_path(s, "parts"), fanout=3), v.results(s, d), v.reviews(s, d)
+    batch = F.pmod(F.hash("result_id"), F.lit(3))
+    for number, name in ((0, "a"), (1, "b"), (1, "b"), (2, "c")):
+        parts.put(name, results.filter(batch == number), reviews)
+        parts.commit()
+    parts.merge()
+    return parts.counts()
+
+
+@query("q1_totals_parts", REGISTRY["q1_totals"][1])
+def _(s, d):
+    return rollups.totals(_parts(s, d), v.reviews(s, d).agg(F.count("*")).scalar())
+
+
+@query("q2_sentiment_distribution_parts", REGISTRY["q2_sentiment_distribution"][1])
+def _(s, d):
+    return rollups.sentiment_distribution(_parts(s, d))
+
+
+@query("q3_category_distribution_parts", REGISTRY["q3_category_distribution"][1])
+def _(s, d):
+    return rollups.category_distribution(_parts(s, d))
+
+
+@query("q4_average_rating_parts", REGISTRY["q4_average_rating"][1])
+def _(s, d):
+    return rollups.average_rating(_parts(s, d))
+
+
+@query("q7_drill_down_parts", REGISTRY["q7_drill_down"][1])
+def _(s, d):
+    return rollups.drill_down(_parts(s, d))
+
+
 _PAGE = f"""WITH {_RR}, rows AS (SELECT id, username, review_text, rating, review_date, id IN (SELECT review_id FROM results) AS analyzed
   FROM reviews WHERE {{where}})
   SELECT *, coalesce(strftime(review_date, '%Y-%m-%d'), '-') AS shown_date, (SELECT count(*) FROM rows) AS total,
@@ -707,6 +743,14 @@ def _(s, d):
     return reporting.raw_page(v.reviews(s, d), v.results(s, d), 1, 500, term="PLN_mob")
 
 
+@query("q9_search_indexed", REGISTRY["q9_search"][1])
+def _(s, d):
+    index, reviews = search_index.SearchIndex(s, tables.scratch_path(s, "search"), parts=8), v.reviews(s, d)
+    for half in (0, 1):
+        index.put(f"half{half}", reviews.filter(F.pmod(F.hash("id"), F.lit(2)) == half))
+    return search_index.search_page(index, v.results(s, d), 1, 500, term="PLN_mob")
+
+
 @query("q10_display_date", f"""WITH {k.RAW_FEED} SELECT coalesce(strftime("at", '%Y-%m-%d'), '-') AS shown_date, count(*) AS n FROM raw GROUP BY ALL""")
 def _(s, d):
     return v.raw_feed(s, d).groupBy(reporting.display_date(F.col("at")).alias("shown_date")).agg(F.count("*").alias("n"))
@@ -983,9 +1027,10 @@ def _language_split(s, d):
   SELECT count(*) AS held_out, count(DISTINCT label) AS classes, true AS learned FROM ranked WHERE n > 1 AND rk <= round(n * 0.2::DOUBLE)""")
 def _(s, d):
     # what does not depend on the fit: the held-out rows, and that languages are told apart
-    rows = _language_split(s, d)
+    rows = _language_split(s, d).select("text", "label", "part")
     held = rows.filter("part = 'test'")
-    _, result = training.train_best(rows.filter("part = 'train'"), held)
+    state = training_rounds.train_rounds(rows.filter("part = 'train'"), held)
+    result = metrics.summary(metrics.confusion_cells(training_rounds.predictions(state, held)))
     classes = held.agg(F.countDistinct("label").alias("classes"))
     return result.select(F.col("n").alias("held_out"), classes.scalar().alias("classes"), (F.col("macro_f1") >= 0.75).alias("learned"))
 

@@ -31,12 +31,16 @@ def totals(reviews: DataFrame, results: DataFrame) -> DataFrame:
         F.count_if("escalated").alias("escalated_count")).withColumn("total_reviews", n_reviews)
 
 
-def sentiment_distribution(results: DataFrame) -> DataFrame:
-    return results.groupBy("sentiment").agg(F.count("*").alias("n"))
+#: How results are counted, in SQL; rows that stand for several results are summed instead.
+ROWS = "count(*)"
 
 
-def category_distribution(results: DataFrame) -> DataFrame:
-    return (results.filter("is_complaint").groupBy("category").agg(F.count("*").alias("n"))
+def sentiment_distribution(results: DataFrame, count: str = ROWS) -> DataFrame:
+    return results.groupBy("sentiment").agg(F.expr(count).alias("n"))
+
+
+def category_distribution(results: DataFrame, count: str = ROWS) -> DataFrame:
+    return (results.filter("is_complaint").groupBy("category").agg(F.expr(count).alias("n"))
             .filter(F.coalesce("category", F.lit("")) != "").orderBy(F.desc("n"), "category"))
 
 
@@ -129,7 +133,7 @@ def export_table(feed: DataFrame, sentiment: str | None = None, layer1: str | No
 DRILL_COLUMNS = ["is_complaint", "subcategory", "layer1", "layer2", "layer3"]
 
 
-def drill_down(results: DataFrame) -> DataFrame:
+def drill_down(results: DataFrame, count: str = ROWS) -> DataFrame:
     """Complaint counts per layer1, (layer1, layer2) and (layer1, layer2, layer3): ``level`` 1 to 3.
 
     The rows are grouped once at the finest level; the coarser levels roll up that small table.
@@ -139,7 +143,7 @@ def drill_down(results: DataFrame) -> DataFrame:
 
     finest = results.filter("is_complaint").groupBy(
         named("layer1").alias("l1"), named("layer2").alias("l2"), named("layer3", "subcategory").alias("l3")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.expr(count).alias("n"))
     rolled = finest.rollup("l1", "l2", "l3").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).otherwise(1)
     return (rolled.filter("g < 7").select(level.alias("level"), "l1", "l2", "l3", "n")

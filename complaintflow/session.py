@@ -10,6 +10,8 @@ def session(app: str = "complaintflow", master: str | None = None, **conf: objec
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
+               # lists of looked-up keys reach the Parquet filters one by one
+               .config("spark.sql.parquet.pushdown.inFilterThreshold", "500")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true"))
     if master:
