@@ -123,7 +123,7 @@ class Generator:
         if self.r.random() < 0.85:
             title = f"<h1{MAIN}>{self.words(self.r.randint(2, 10))}</h1>"
             parts.append(f"<header>{title}</header>" if self.r.random() < 0.1 else title)
-        for _ in range(self.r.choice((1, 2, 3, 5, 8, 14))):
+        for _ in range(self.r.choice((1, 1, 2, 2, 3, 5, 8, 14))):
             parts.append(self.paragraph())
             if self.r.random() < 0.06:
                 parts.append(self.r.choice((self.advert, self.share, self.notice))())
