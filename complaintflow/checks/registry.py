@@ -773,7 +773,7 @@ def _(s, d):
     return df.select("row", *[labels.clean_label(F.col(f"LAYER {i}")).alias(f"c{i}") for i in range(1, 6)])
 
 
-def _level_sql(i: int, src: str, scored: bool) -> str:
+def _level_sql(i: int, src: str, scored: bool, blocks: bool) -> str:
     """CTE ``t<i>``: tuples of ``src`` with match, method and score of level ``i``."""
     parents = ", ".join(f"l{j}" for j in range(1, i))
     keys = " AND ".join(f"o.l{j} = s.l{j}" for j in range(1, i))
@@ -784,8 +784,10 @@ def _level_sql(i: int, src: str, scored: bool) -> str:
              "GROUP BY z.opt ORDER BY max(z.score) DESC, z.opt LIMIT 1)") if scored else "CAST(NULL AS STRUCT(o VARCHAR, s DOUBLE))"
     fuzzy = (f"list_sort(list_filter(list_transform(u.options, lambda o: {{'s': 1 - levenshtein(u.c{i}, o) / "
              f"greatest(length(u.c{i}), length(o)), 'o': o}}), lambda r: r.s >= 0.72))[-1]")
+    if blocks:
+        fuzzy = f"list_sort(list_filter(list_transform(u.options, lambda o: {{'s': ratio_of.m[u.c{i} || '|' || o], 'o': o}}), lambda r: r.s >= 0.72))[-1]"
     return f"""u{i} AS (SELECT s.*, {options} AS options FROM {src} s LEFT JOIN o{i} o ON {keys} {leaf}),
-  w{i} AS (SELECT u.*, {fuzzy} AS fz, {score} AS sc FROM u{i} u),
+  w{i} AS (SELECT u.*, {fuzzy} AS fz, {score} AS sc FROM u{i} u{', ratio_of' if blocks else ''}),
   t{i} AS (SELECT * EXCLUDE (options, fz, sc),
     CASE WHEN c{i} IS NULL THEN 'empty' WHEN len(options) = 0 THEN 'no_hierarchy_options' WHEN list_contains(options, c{i}) THEN 'exact'
       WHEN fz IS NOT NULL THEN 'fuzzy' WHEN sc IS NOT NULL THEN 'llm_zeroshot' ELSE 'NEEDS_MANUAL_REVIEW' END AS method{i},
@@ -799,14 +801,30 @@ _SCORES_SQL = f"""label_scores AS (SELECT {_clean_sql('CASE row % 3 WHEN 0 THEN
   FROM labelled)"""
 
 
-def _reconcile_sql(scored: bool) -> str:
+_BLOCK = """list_max(list_transform(range(1, length(a) + 1), lambda i: {'n': len(list_filter(
+    range(1, least(length(a) - i + 1, length(b)) + 1), lambda l: contains(b, substr(a, i, l)))), 'at': -i}))"""
+_RATIOS_SQL = f"""ratio_of AS (WITH RECURSIVE pairs AS (
+    SELECT DISTINCT label, option FROM (SELECT unnest([c3, c4, c5]) AS label FROM t2), (SELECT unnest([l3, l4, l5]) AS option FROM taxonomy)
+    WHERE label <> '' AND option <> ''),
+  pieces AS (SELECT label, option, option AS a, label AS b FROM pairs
+    UNION ALL SELECT label, option, part.a, part.b FROM (SELECT label, option, unnest([
+      {{'a': substr(a, 1, -block.at - 1), 'b': substr(b, 1, instr(b, substr(a, -block.at, block.n)) - 1)}},
+      {{'a': substr(a, -block.at + block.n), 'b': substr(b, instr(b, substr(a, -block.at, block.n)) + block.n)}}]) AS part
+      FROM (SELECT *, {_BLOCK} AS block FROM pieces) WHERE block.n > 0) WHERE part.a <> '' AND part.b <> ''),
+  sums AS (SELECT label, option, sum(n) AS common FROM (SELECT label, option, ({_BLOCK}).n AS n FROM pieces) GROUP BY label, option),
+  ratios AS (SELECT label || '|' || option AS pair, 2.0::DOUBLE * common::DOUBLE / (length(label) + length(option)) AS s FROM sums)
+  SELECT map(list(pair), list(s)) AS m FROM ratios)"""
+
+
+def _reconcile_sql(scored: bool, blocks: bool = False) -> str:
     raws = ", ".join(f"raw{i}" for i in range(1, 6))
     cleaned = ", ".join(f"{_clean_sql(f'raw{i}')} AS c{i}" for i in range(1, 6))
     scores = f", {_SCORES_SQL}" if scored else ""
     same = " AND ".join(f"r.raw{i} IS NOT DISTINCT FROM t.raw{i}" for i in range(1, 6))
     return f"""{k.TAXONOMY}, {k.OPTIONS}, {k.LABELLED}{scores},
   t2 AS (SELECT *, c1 AS l1, c2 AS l2 FROM (SELECT {raws}, {cleaned} FROM (SELECT DISTINCT {raws} FROM labelled))),
-  {_level_sql(3, 't2', scored)}, {_level_sql(4, 't3', scored)}, {_level_sql(5, 't4', scored)},
+  {_RATIOS_SQL + ', ' if blocks else ''}
+  {_level_sql(3, 't2', scored, blocks)}, {_level_sql(4, 't3', scored, blocks)}, {_level_sql(5, 't4', scored, blocks)},
   rows AS (SELECT r.row, r.text, t.* FROM labelled r JOIN t5 t ON {same})"""
 
 
@@ -840,6 +858,12 @@ def _(s, d):
     return df.select("row", "m3", "score3", "m4", "score4", "m5", "score5")
 
 
+@query("l3_fuzzy_blocks", f"WITH {_reconcile_sql(False, True)} SELECT row, m3, score3, m4, score4, m5, score5 FROM rows WHERE 'fuzzy' IN (method3, method4, method5)")
+def _(s, d):
+    df = _reconciled(s, d, reconcile.closest_by_blocks).filter("'fuzzy' IN (method3, method4, method5)")
+    return df.select("row", "m3", "score3", "m4", "score4", "m5", "score5")
+
+
 @query("l4_scored_labels", f"WITH {_reconcile_sql(True)} SELECT {_RECONCILED} FROM rows")
 def _(s, d):
     return _reconciled(s, d, scored=True).select(*_RECONCILED.split(", "))
@@ -850,6 +874,11 @@ def _(s, d):
     return _reconciled(s, d).select(*_RECONCILED.split(", "))
 
 
+@query("l5_cascade_blocks", f"WITH {_reconcile_sql(False, True)} SELECT {_RECONCILED} FROM rows")
+def _(s, d):
+    return _reconciled(s, d, reconcile.closest_by_blocks).select(*_RECONCILED.split(", "))
+
+
 @query("l6_open_labels", f"WITH {_reconcile_sql(False)}, {_LINES} SELECT * FROM open_lines")
 def _(s, d):
     return reconcile.open_labels(_reconciled(s, d))

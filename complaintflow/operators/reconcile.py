@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from complaintflow.functions.labels import clean_label
+from complaintflow.functions.similarity import block_ratio
 from complaintflow.functions.text import strip
 from complaintflow.operators.taxonomy import Taxonomy
 
@@ -27,6 +28,13 @@ def closest_by_edits(label: Column, options: Column) -> Column:
     return F.struct(top["option"].alias("option"), top["score"].alias("score"))
 
 
+def closest_by_blocks(label: Column, options: Column) -> Column:
+    """Best option by the matching-block ratio; the larger text on ties."""
+    ranked = F.transform(options, lambda o: F.struct(block_ratio(o, label, FUZZY_CUTOFF).alias("score"), o.alias("option")))
+    top = F.array_max(F.filter(ranked, lambda r: r["score"] >= FUZZY_CUTOFF))
+    return F.struct(top["option"].alias("option"), top["score"].alias("score"))
+
+
 def label_score_maps(label_scores: DataFrame) -> DataFrame:
     """(label, option, score) rows as one map per label; one score per pair is kept."""
     once = label_scores.groupBy("label", "option").agg(F.max("score").alias("score"))
@@ -62,7 +70,7 @@ def _level(df: DataFrame, level: int, closest, maps: DataFrame | None) -> DataFr
         .when(m == SCORED, F.round("_scored.score", 3)).otherwise(0.0).alias(f"score{level}"))
 
 
-def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_edits,
+def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_blocks,
                      label_scores: DataFrame | None = None) -> DataFrame:
     """Distinct raw tuples ``raw1..raw5`` with ``c1, c2`` and, per level 3 to 5, match, method and
     score. Each level uses the reconciled parent."""
@@ -82,7 +90,7 @@ def reconcile_tuples(tuples: DataFrame, taxonomy: Taxonomy, closest=closest_by_e
     return df.drop("l1", "l2", "l3", "l4", "l5", "c3", "c4", "c5")
 
 
-def reconcile(report: DataFrame, taxonomy: Taxonomy, row_id: str = "row", closest=closest_by_edits,
+def reconcile(report: DataFrame, taxonomy: Taxonomy, row_id: str = "row", closest=closest_by_blocks,
               label_scores: DataFrame | None = None) -> DataFrame:
     """Every report row with its raw labels and the reconciled ones of its tuple."""
     raw = report.select(row_id, *[c for c in report.columns if c not in (row_id, *LAYER_COLUMNS)],
