@@ -17,18 +17,21 @@ credentials are permuted character by character within their alphabets, half aga
 Numbers that fail their check stay as they are. Nothing is shuffled and no Python runs on the rows.
 
 Defined results: a null text stays null with no values counted; empty texts stay; very long texts are processed whole;
-repeated rows are treated alike; an empty table gives an empty result; all columns of the input are kept, and the counts
-take the names given, which must not clash with them.
+repeated rows are treated alike; an empty table gives an empty result; all columns of the input are kept, and a name for the
+counts that clashes with them is an error.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from complaintflow.llm.shared import columns, table
 
-KEY = "corpus-pseudonyms-1"
+#: The session setting that holds the key. Whoever has it can undo the pseudonyms, so it isn't in here.
+KEY_SETTING = "spark.complaintflow.pseudonyms.key"
 ROUNDS = 10
 
 # Formats. No group repeats over alternatives, so that the matcher needs no deep stack on long texts.
@@ -171,8 +174,22 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(F.regexp_extract(m, parts, 1), letters("secret", key, F.regexp_extract(m, parts, 2)), F.regexp_extract(m, parts, 3))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with every value in ``column`` replaced by its pseudonym; ``count`` names a column for their number."""
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's settings. A session without one gets a random key for as long as it lasts: equal values are
+    then linked in all that it writes, and nobody can undo it or link it with what another session writes."""
+    key = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with every value in ``column`` replaced by its pseudonym; ``count`` names a column for their number. The key is
+    that of the session unless one is given."""
+    if count in docs.columns:
+        raise ValueError(f"{count} is a column already")
+    key = key or session_key(docs.sparkSession)
     text = F.col(f"`{column}`")
     rules = {"secret": _secret, "email": _email, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 

@@ -88,8 +88,23 @@ def test_suffix_dedup_of_repeated_rows_and_no_rows(spark):
 
 
 # --------------------------------------------------------------------------- 2: pseudonyms
+KEY = "a key of the tests"
+
+
+def test_keys_come_from_the_session(spark):
+    rows = spark.createDataFrame([("see 188.54.39.104",)], "text string")
+    spark.conf.unset(pii.KEY_SETTING)
+    one, two = (pii.pseudonymise(rows).first()["text"] for _ in range(2))
+    spark.conf.unset(pii.KEY_SETTING)
+    other = pii.pseudonymise(rows).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    assert one == two != other and pii.pseudonymise(rows).first()["text"] == pii.pseudonymise(rows, KEY).first()["text"]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows, count="text")
+
+
 def py_hash(kind, turn, half):
-    return int(hashlib.sha256(f"{pii.KEY}|{kind}|{turn}|{half}".encode()).hexdigest()[:14], 16)
+    return int(hashlib.sha256(f"{KEY}|{kind}|{turn}|{half}".encode()).hexdigest()[:14], 16)
 
 
 def py_feistel(kind, left, right, a, b):
@@ -130,7 +145,7 @@ def test_pseudonyms_against_brute_force(spark):
     rows = [(i, f"see {x} there.") for i, x in enumerate(cards)] + [
         (10, wrong), (11, spaced), (12, f"at {ip}, then {ip}!!"), (13, "+1 (499) 555-6503"), (14, None), (15, ""), (16, "no values: 12, 3.5 and v1.2.3.4.5"),
         (17, "x" * 200_000 + f" {cards[2]}"), (18, "2001-02-30 and 999.1.1.1 and 000-12-3456")]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _pii_values"), count="n").collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _pii_values"), KEY, count="n").collect()}
     for i, x in enumerate(cards):
         assert got[i]["text"] == f"see {py_card(x)} there." and py_luhn(py_card(x)) % 10 == 0
     new = py_card(cards[2])
