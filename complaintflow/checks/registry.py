@@ -10,14 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from complaintflow import schemas
 from complaintflow.checks import duck as k
 from complaintflow.checks import views as v
 from complaintflow.functions import classify, labels, normalize, sentiment, text
 from complaintflow.functions import lexicon as lx
 from complaintflow.operators import ingest, metrics, reconcile, scoring, training_rounds, training_sets
 from complaintflow.operators.taxonomy import Taxonomy, match_answer
-from complaintflow.plans import analysis, evaluation, reporting, rollups, search_index
-from complaintflow.sources import tables
+from complaintflow.plans import analysis, evaluation, pages, reporting, rollups, search_index
+from complaintflow.sources import committed, tables
 from complaintflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,15 @@ def _(s, d):
 
 
 
+@query("s7_committed_results", f"WITH {k.RESULTS} SELECT * FROM results")
+def _(s, d):
+    store, rows = committed.result_store(s, tables.scratch_path(s, "committed")), v.results(s, d)
+    store.append("complaints", rows.filter("is_complaint"))
+    for _ in range(2):  # the same write again replaces the first
+        store.append("others", rows.filter("NOT is_complaint"))
+    return store.rows()
+
+
 def _clean_sql(c: str) -> str:
     trimmed = f"regexp_replace({c}, '^[{k.SP}]+|[{k.SP}]+$', '', 'g')"
     bare = rf"regexp_replace({trimmed}, '^\p{{Nd}}+(\.\p{{Nd}}+)*\.?[{k.SP}]*', '')"
@@ -738,6 +748,19 @@ def _(s, d):
     return reporting.raw_page(v.reviews(s, d), v.results(s, d), 2, 25, rating=2, analyzed=False)
 
 
+@query("q8_page_by_token", f"""WITH {k.REVIEWS} SELECT id, username, review_text, rating, review_date FROM reviews
+  WHERE rating = 2 ORDER BY review_date DESC NULLS LAST, id LIMIT 25 OFFSET 50""")
+def _(s, d):
+    store = pages.PageStore(s, tables.scratch_path(s, "pages"), schemas.REVIEWS, "review_date", "id", slice_rows=200)
+    for half in (0, 1):
+        store.put(f"half{half}", v.reviews(s, d).filter(F.pmod(F.hash("id"), F.lit(2)) == half))
+    token = None
+    for _ in range(3):
+        page = store.page(25, token, lambda rows: rows.filter("rating = 2"))
+        token = store.token(page)
+    return page.select("id", "username", "review_text", "rating", "review_date")
+
+
 @query("q9_search", _PAGE.format(where="review_text ILIKE '%PLN_mob%'", per=500, off=0))
 def _(s, d):
     return reporting.raw_page(v.reviews(s, d), v.results(s, d), 1, 500, term="PLN_mob")
@@ -761,6 +784,14 @@ def _(s, d):
     return reporting.current_flags(v.flag_events(s, d))
 
 
+@query("q11_committed_flags", REGISTRY["q11_current_flags"][1])
+def _(s, d):
+    store, events = committed.flag_store(s, tables.scratch_path(s, "flags")), v.flag_events(s, d)
+    for part in (0, 1, 2):
+        store.append(f"part{part}", events.filter(F.pmod(F.hash("result_id", "flagged_at"), F.lit(3)) == part))
+    return committed.flags_as_of(store.rows())
+
+
 @query("q11_unknown_flags", f"WITH {k.FLAG_EVENTS}, {k.RESULTS} SELECT * FROM flag_events WHERE result_id NOT IN (SELECT result_id FROM results)")
 def _(s, d):
     return reporting.unknown_flags(v.flag_events(s, d), v.results(s, d))
