@@ -79,8 +79,9 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def repeated(found: DataFrame) -> DataFrame:
     """Of the spans those that also occur earlier."""
-    firsts = (found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.max(F.struct("doc_id", "first")).alias("last"))
-              .filter("at != last").select("h1", "h2", "at"))
+    # stored, as adaptive execution splits a hash that very many documents share only between two plain shuffles
+    firsts = stored(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.max(F.struct("doc_id", "first")).alias("last"))
+                    .filter("at != last").select("h1", "h2", "at"))
     return (found.join(firsts, ["h1", "h2"]).filter(F.struct("doc_id", "first") != F.col("at"))
             .select("doc_id", "first", "n"))
 
