@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def spread(scan: DataFrame) -> DataFrame:
     """A plain scan with fewer splits than the cluster has cores is spread over them, since text
     work costs far more than moving the rows once. With more splits nothing happens."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -94,19 +96,25 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(":".join(f.split()) for f in ddl.split(","))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _file_system(spark, path)
-    return fs.exists(hadoop_path)
+def _files(spark: SparkSession, path: str) -> list[str] | None:
+    """The files of a path, None where there is no such path. Nothing is read."""
+    try:
+        return spark.read.format("binaryFile").load(path).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _file_system(spark, path)
-    return fs.getFileStatus(hadoop_path).isDirectory()
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path) is not None
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """A file is its own only file."""
+    name = path.rstrip("/").rpartition("/")[2]
+    files = _files(spark, path) or []
+    return len(files) != 1 or unquote(files[0]).rpartition("/")[2] != name
 
 
 # --------------------------------------------------------------------------- writers
