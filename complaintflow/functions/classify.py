@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
-from complaintflow.functions.text import substrings_found
+from complaintflow.functions.text import found_phrases, lookup, substrings_found
 
 KEYWORDS: tuple[str, ...] = tuple(dict.fromkeys(
     k for labels in (lx.L3_KEYWORDS, lx.L1_KEYWORDS) for words in labels.values() for k in words))
@@ -32,6 +32,22 @@ def keyword_vote(hits: Column, labels: Mapping[str, Sequence[str]], default: str
     return F.array_max(F.array(*votes))
 
 
+def large_vote(low: Column, labels: Mapping[str, Sequence[str]], default: str) -> Column:
+    """``keyword_vote`` for keyword lists of any size, from the text itself: one pass finds all keywords, and each found one
+    names its labels."""
+    names, of = list(labels), {}
+    for i, words in enumerate(labels.values()):
+        for w in words:
+            of.setdefault(w, []).append(i)
+    named = lookup(of, "array<int>")
+    each = F.flatten(F.transform(found_phrases(low, list(of)), lambda p: named(p)))
+    none = F.struct(F.lit(0).alias("hits"), F.lit(1).alias("first"), F.lit(default).alias("label"))
+    # found labels only: their number follows the text, not the lists
+    votes = F.transform(F.array_distinct(each), lambda i: F.struct(
+        F.size(F.filter(each, lambda j: j == i)).alias("hits"), (-i).alias("first"), F.get(F.lit(names), i).alias("label")))
+    return F.when(low.isNotNull(), F.array_max(F.concat(F.array(none), votes)))
+
+
 def layer3_vote(hits: Column) -> Column:
     return keyword_vote(hits, lx.L3_KEYWORDS, lx.DEFAULT_L3)
 

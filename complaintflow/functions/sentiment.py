@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
-from complaintflow.functions.text import contains_phrase, fence, lookup, substrings_found, tokens
+from complaintflow.functions import text as text_functions
+from complaintflow.functions.text import contains_phrase, fence, found_phrases, lookup, substrings_found, tokens
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,12 @@ def phrase_score(hits: Column, phrases: Mapping[str, int], searched: Sequence[st
     return total
 
 
+def found_score(found: Column, phrases: Mapping[str, int]) -> Column:
+    """The same over the found phrases themselves, at a cost that follows what is found and not what is searched."""
+    weight = lookup(phrases, "double")
+    return F.aggregate(found, F.lit(0.0), lambda total, p: total + F.coalesce(weight(p), F.lit(0.0)))
+
+
 def signed_weights(words: Column, rules: SentimentRules = SentimentRules()) -> Column:
     """One signed weight per token: negative words below zero, positive words above. A negator
     among the two tokens before turns the sign and halves the weight."""
@@ -97,18 +104,19 @@ def score_sentiment(df: DataFrame, text: str, rules: SentimentRules = SentimentR
     column with the best model label; rows where it is null use the lexicon."""
     neg_phrases, pos_phrases = rules.phrase_weights()
     phrases = [*neg_phrases, *pos_phrases] or ["\0"]
-    plain, low = df.columns, F.col("_low")
+    plain, low, many = df.columns, F.col("_low"), len(phrases) > text_functions.MANY_PHRASES
     # every shared input is a column of its own: inside lambdas nothing is shared by the engine
     staged = df.select("*", F.lower(F.col(text)).alias("_low"))
     staged = staged.select("*", tokens(low, squeezed).alias("_words"))
     staged = staged.select(
-        *plain, signed_weights(F.col("_words"), rules).alias("_w"), substrings_found(low, phrases).alias("_hits"),
+        *plain, signed_weights(F.col("_words"), rules).alias("_w"),
+        (found_phrases(low, phrases) if many else substrings_found(low, phrases)).alias("_hits"),
         contains_phrase(low, rules.strong_positive).alias("strong_positive"),
         contains_phrase(low, rules.explicit_negative).alias("explicit_negative"))
     neg, pos = side_totals(F.col("_w"))
     hits = F.col("_hits")
-    staged = staged.select("*", (phrase_score(hits, neg_phrases, phrases) + neg).alias("_neg"),
-                           (phrase_score(hits, pos_phrases, phrases) + pos).alias("_pos"))
+    for_neg, for_pos = (found_score(hits, w) if many else phrase_score(hits, w, phrases) for w in (neg_phrases, pos_phrases))
+    staged = staged.select("*", (for_neg + neg).alias("_neg"), (for_pos + pos).alias("_pos"))
     label, conf = lexicon_decision(F.col("_neg"), F.col("_pos"))
     source: Column = F.lit(lx.SOURCE_LEXICON)
     if model is not None:

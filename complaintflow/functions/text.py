@@ -24,6 +24,8 @@ WHITESPACE = (
 # A dictionary becomes a literal inside the plan; beyond this it must be joined instead.
 MAX_LITERAL_ENTRIES = 100_000
 MAX_SET_ENTRIES = 2_000
+# Up to so many phrases are searched one by one; more of them are one tree.
+MANY_PHRASES = 200
 
 
 def strip(c: Column) -> Column:
@@ -99,6 +101,26 @@ def substrings_found(c: Column, words: Sequence[str]) -> Column:
     return F.array(*[F.contains(c, F.lit(w)) for w in words])
 
 
+def found_phrases(c: Column, phrases: Sequence[str]) -> Column:
+    """array<string>: the phrases that occur anywhere in the text, each once, in one pass over it whatever their number.
+
+    At every position the longest phrase that begins there is matched by one tree of all phrases; the phrases that it begins
+    with are its prefixes, which are known beforehand.
+    """
+    known = {p for p in phrases if p}
+    if not known:
+        return F.array().cast("array<string>")
+    begins = {p: [q for q in (p[:n] for n in range(1, len(p) + 1)) if q in known] for p in known}
+    first = "".join(re.escape(ch) for ch in sorted({p[0] for p in known}))
+    tree = prefix_tree(sorted(known))
+    longest = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=[{first}])(?=({tree}))"), F.lit(1)))
+    several = {p: q for p, q in begins.items() if len(q) > 1}
+    if not several:
+        return longest
+    find = lookup(several, "array<string>")
+    return F.array_distinct(F.flatten(F.transform(longest, lambda p: F.coalesce(find(p), F.array(p)))))
+
+
 def lookup(pairs: Mapping[str, object], value_type: str = "string") -> Callable[[Column], Column]:
     """Constant-time dictionary lookup inside a column expression; null when absent.
 

@@ -16,7 +16,7 @@ from complaintflow.plans.analysis import Rules, analyze
 from complaintflow.plans.rollups import Parts
 from complaintflow.sources.segments import rows_of
 from complaintflow.sources.tables import append_results, read_results, result_rows
-from complaintflow.streaming.key_index import KeyIndex, row_count
+from complaintflow.streaming.key_index import PARTS, KeyIndex, row_count
 
 RUN, BATCH = "ingest_run", "ingest_batch"
 SEED_RUN = "seed"
@@ -29,9 +29,9 @@ def stored_reviews(spark: SparkSession, store: str, without: tuple[str, int] | N
     return rows if without is None else rows.filter(~((F.col(RUN) == without[0]) & (F.col(BATCH) == without[1])))
 
 
-def key_index(spark: SparkSession, store: str) -> KeyIndex:
-    """The index beside a store."""
-    return KeyIndex(spark, f"{store.rstrip('/')}_keys")
+def key_index(spark: SparkSession, store: str, parts: int = PARTS) -> KeyIndex:
+    """The index beside a store. A new one gets ``parts`` hash parts: more of them for large stores and small batches."""
+    return KeyIndex(spark, f"{store.rstrip('/')}_keys", parts)
 
 
 def _index_missing(spark: SparkSession, store: str, checkpoint: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from complaintflow.sources.segments import Segments, crowded, rows_of
 
-PARTS = 64
+PARTS = 16
 FANOUT = 8
 LEVEL_ROWS = 10_000
 #: Up to so many keys are given to the scan one by one.
@@ -37,11 +37,15 @@ class KeyIndex(Segments):
 
     def known(self, keys: DataFrame, but: str | None = None) -> DataFrame:
         """``id`` of the indexed keys in all parts that the ``id`` of ``keys`` hash to, leaving out the segment ``but``."""
-        touched = sorted(r["part"] for r in keys.select(self.part(F.col("id")).alias("part")).distinct().collect())
         names = [n for n in self.segments if n != but]
+        if not names:
+            return self.read("id string", [])
+        placed = keys.select("id", self.part(F.col("id")).alias("part"))
+        some = placed.limit(FEW_KEYS + 1).collect()
+        few = len(some) <= FEW_KEYS
+        touched = sorted({r["part"] for r in (some if few else placed.select("part").distinct().collect())})
         rows = self.read(SCHEMA, names).filter(F.col("part").isin(touched) if touched else F.lit(False))
-        few = [r["id"] for r in keys.select("id").limit(FEW_KEYS + 1).collect()]
-        return (rows.filter(F.col("id").isin(few)) if len(few) <= FEW_KEYS else rows).select("id")
+        return (rows.filter(F.col("id").isin([r["id"] for r in some])) if few else rows).select("id")
 
     def put(self, name: str, keys: DataFrame) -> None:
         """Segment ``name`` has the keys of ``keys``; written again, it is replaced. Takes effect with ``commit``."""

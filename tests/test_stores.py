@@ -76,7 +76,7 @@ def test_a_batch_reads_the_parts_its_keys_hash_to(spark, tmp_path):
 def test_many_batches_leave_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(key_index, "LEVEL_ROWS", 40)
     index = key_index.KeyIndex(spark, str(tmp_path / "i"), parts=2, fanout=4)
-    most, n = 0, 24
+    most, n = 0, 18
     for batch in range(n):
         index.merge()
         index.put(f"run-{batch}", ids(spark, [f"k{batch}-{i}" for i in range(10)]))
