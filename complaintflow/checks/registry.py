@@ -18,7 +18,7 @@ from complaintflow.functions import lexicon as lx
 from complaintflow.operators import ingest, metrics, reconcile, scoring, training_rounds, training_sets
 from complaintflow.operators.taxonomy import Taxonomy, match_answer
 from complaintflow.plans import analysis, evaluation, pages, reporting, rollups, search_index
-from complaintflow.sources import committed, tables
+from complaintflow.sources import bucketed, committed, tables
 from complaintflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,6 +604,23 @@ def _(s, d):
     return _record(s, d, True).select(*k.RECORD.split(", "))
 
 
+def _bucketed(s, rows, key, buckets=4):
+    path = tables.scratch_path(s, "bucketed")
+    return bucketed.write_bucketed(rows, path.rpartition("/")[2].replace("-", "_"), path, key, buckets)
+
+
+@query("p1_analysis_scored_bucketed", REGISTRY["p1_analysis_scored"][1])
+def _(s, d):
+    reviews, scores = _bucketed(s, v.reviews(s, d), "id"), _bucketed(s, v.model_scores(s, d), "review_id")
+    return analysis.analyze(reviews, v.fixture_taxonomy(s), scores, by_review=True).select(*k.RECORD.split(", "))
+
+
+@query("s2_result_feed_bucketed", REGISTRY["s2_result_feed"][1])
+def _(s, d):
+    reviews, results = _bucketed(s, v.reviews(s, d), "id"), _bucketed(s, v.results(s, d), "review_id")
+    return reporting.result_feed(reviews, results, reporting.current_flags(v.flag_events(s, d)))
+
+
 @query("p2_gate", _record_sql("sentiment, is_complaint, category, reason, count(*) AS n", False,
                               "WHERE NOT is_complaint AND sentiment_source NOT LIKE '%rescue' GROUP BY ALL"))
 def _(s, d):

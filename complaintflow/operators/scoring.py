@@ -34,12 +34,13 @@ def best_class(probabilities: Column, labels: Iterable[str]) -> Column:
         p.alias("score"), (-i).alias("first"), F.get(names, i).alias("label"))))
 
 
-def per_review(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def per_review(scores: DataFrame, labels: DataFrame | None = None, by_review: bool = False) -> DataFrame:
     """One row per review: ``sentiment_top`` and ``layer1..3_top`` (struct(label, score)), and
     ``layer4_scores`` / ``layer5_scores`` (map option -> score).
 
     Rows are first reduced to one per (review, target, label); only layers
-    4 and 5 are collected, and ``labels`` (column ``label``) limits them to taxonomy labels.
+    4 and 5 are collected, and ``labels`` (column ``label``) limits them to taxonomy labels. Scores that are stored
+    ``by_review`` (bucketed) stay where they are.
     """
     if labels is not None:
         upper = ~F.col("target").isin("layer4", "layer5")
@@ -47,7 +48,7 @@ def per_review(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         known = small_side(known, is_small(known)).withColumn("_known", F.lit(True))
         scores = scores.join(known, "label", "left").filter(upper | F.col("_known")).drop("_known")
     # both aggregates, and the join with the reviews, work on this one exchange
-    once = scores.repartition("review_id").groupBy("review_id", "target", "label").agg(
+    once = (scores if by_review else scores.repartition("review_id")).groupBy("review_id", "target", "label").agg(
         F.max("score").alias("score"), F.min("ord").alias("ord"))
 
     def of(target: str) -> Column:

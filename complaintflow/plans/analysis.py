@@ -68,15 +68,16 @@ def escalates(l1: Column, words: Column) -> Column:
 
 def analyze(reviews: DataFrame, taxonomy: Taxonomy, scores: DataFrame | None = None,
             rules: Rules = Rules(), text: str = "review_text", key: str = "id",
-            columns: Sequence[str] | None = None) -> DataFrame:
+            columns: Sequence[str] | None = None, by_review: bool = False) -> DataFrame:
     """``reviews`` plus the 17 record columns, or only ``columns``, and then nothing else is computed. Needs ``rating``
-    (int, nullable)."""
+    (int, nullable). Reviews and scores that are both stored ``by_review`` (``sources.bucketed``) are merged without any
+    exchange."""
     keep = [c for c in reviews.columns if c not in RECORD_COLUMNS]
     df = reviews.select(*keep)
     model = l4_scores = l5_scores = None
     if scores is not None:
         lower = taxonomy.labels(4).unionByName(taxonomy.labels(5))
-        wide = per_review(scores, lower).withColumnRenamed("review_id", key)
+        wide = per_review(scores, lower, by_review).withColumnRenamed("review_id", key)
         df = df.join(wide, key, "left")
         model, l4_scores, l5_scores = "sentiment_top", "layer4_scores", "layer5_scores"
 
