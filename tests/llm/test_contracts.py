@@ -46,7 +46,7 @@ def sample(seed=1, n=60):
 
 
 def test_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 # --------------------------------------------------------------------------- 1: suffix arrays
