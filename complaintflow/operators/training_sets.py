@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from complaintflow.functions import lexicon as lx
 from complaintflow.functions.normalize import TextRules, normalize_text
 from complaintflow.functions.text import token_count
+from complaintflow.operators.joins import is_small, small_side
 
 TARGETS = {"layer1": "LAYER 1", "layer2": "LAYER 2", "layer3": "LAYER 3"}
 
@@ -34,10 +35,11 @@ def fold_rare(df: DataFrame, min_count: int = 10, folded: str = lx.RARE_LABEL) -
     """Classes with fewer than ``min_count`` rows become one class.
 
     The counts are a map-side combined aggregate, not a window over each class. Only the rare
-    labels are joined back, so the side that is looked up never holds a frequent label.
+    labels are joined back, so the side that is looked up never holds a frequent label; counted first,
+    few of them are broadcast and no row moves to the task of its class.
     """
     rare = df.groupBy("label").agg(F.count("*").alias("_n")).filter(F.col("_n") < min_count).select("label", F.lit(True).alias("_rare"))
-    joined = df.join(rare, "label", "left")
+    joined = df.join(small_side(rare, is_small(rare)), "label", "left")
     return joined.select(*[F.when(F.col("_rare"), folded).otherwise(F.col("label")).alias("label") if c == "label"
                            else F.col(c) for c in df.columns])
 

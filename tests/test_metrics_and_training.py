@@ -122,3 +122,17 @@ def test_main_path_stays_in_the_jvm_without_a_shuffle(spark):
         if literal_rows:
             assert "Exchange" not in text
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text.replace("\n", "")
+
+
+def test_rows_do_not_move_to_the_task_of_their_class(spark):
+    rows = spark.range(500).selectExpr("id AS row", "concat('text ', id) AS text", "CASE WHEN id % 100 = 0 THEN concat('r', id) WHEN id % 7 > 0 THEN 'a' END AS label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = training_sets.fold_rare(rows, 10)
+        assert "BroadcastHashJoin" in plan(done) and "SortMergeJoin" not in plan(done)
+        nulls = sum(i % 100 != 0 and i % 7 == 0 for i in range(500))
+        want = {None: nulls, "a": 495 - nulls, training_sets.lx.RARE_LABEL: 5}
+        assert {r["label"]: r["n"] for r in done.groupBy("label").agg(F.count("*").alias("n")).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
