@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,32 @@ def test_a_name_written_again_is_replaced(spark, tmp_path):
     again = search_index.SearchIndex(spark, str(tmp_path))
     assert again.parts == 2 and [r["review_text"] for r in again.matching("TEXT").collect()] == ["third text"]
     assert again.matching("first").count() == 0
+
+
+def test_lists_are_built_by_as_many_tasks_as_there_are_cores(spark, tmp_path):
+    texts = [f"{PIECES[i % len(PIECES)]} number {i} {PIECES[i % 7]}" for i in range(400)]
+    rows = reviews(spark, texts)
+    index = search_index.SearchIndex(spark, str(tmp_path), parts=1)
+    index.put("a", rows)
+    stored = index._texts(["a"])
+    assert len(stored.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert stored.select("number").distinct().count() == 400
+    for term in ("number 39", "PLN_mob", "😀😀", "nowhere"):
+        want = rows.filter(reporting.search(F.col("review_text"), term))
+        assert sorted(map(str, index.matching(term).collect())) == sorted(map(str, want.collect())), term
+
+
+def test_lists_in_pieces(monkeypatch):
+    monkeypatch.setattr(search_index, "PIECE_CHARS", 20)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(PIECES, k=rng.randint(0, 6))).lower() for _ in range(50)] + [None, "", "ab"]
+    frame = pd.DataFrame({"part": [i % 2 for i in range(53)], "number": range(53), "low": texts})
+    got, want = {}, {}
+    for piece in search_index._listed(iter([frame])):
+        for g, n, numbers, part in piece.itertuples(index=False):
+            assert n == len(numbers) == len(set(numbers.tolist()))
+            got.setdefault((part, g), []).extend(numbers.tolist())
+    for i, t in enumerate(texts):
+        for g in {t[j:j + 3] for j in range(len(t or "") - 2)} if t else ():
+            want.setdefault((i % 2, g), []).append(i)
+    assert {key: sorted(x) for key, x in got.items()} == want
