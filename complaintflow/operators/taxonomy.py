@@ -120,12 +120,17 @@ class Taxonomy:
         return self.rows.filter(_filled(*LEVELS[: level + 1])).select(F.col(col).alias("label")).distinct()
 
     # ----------------------------------------------------------------- lookups over many paths
+    def _side(self, derived: DataFrame) -> DataFrame:
+        """A derived table as the looked-up side; one of few rows is broadcast even if the taxonomy is large, so that rows
+        don't meet by one of a few labels."""
+        return small_side(derived, self.small or is_small(derived))
+
     def with_options(self, df: DataFrame, level: int, out: str = "options") -> DataFrame:
         """Adds the options for the path in the columns l1.. of ``df``: by full path, else by the
         parent label alone (levels 4 and 5), with ``path_missing`` and ``ambiguous`` as warnings."""
         keys = LEVELS[: level - 1]
-        exact = small_side(self.options(level).withColumnRenamed("options", "_exact"), self.small)
-        df = df.join(exact, keys, "left")
+        exact = self.options(level).withColumnRenamed("options", "_exact")
+        df = df.join(self._side(exact), keys, "left")
         empty = F.array().cast("array<string>")
         if level == 3:
             return df.withColumn(out, F.coalesce("_exact", empty)).drop("_exact")
@@ -133,7 +138,7 @@ class Taxonomy:
         leaf = self.leaf_options(level).withColumnRenamed("options", "_leaf")
         shared = self.ambiguous(level - 1).select(F.col("label").alias(parent), F.lit(True).alias("_shared"))
         leaf = leaf.join(shared, parent, "left")
-        df = df.join(small_side(leaf, self.small), parent, "left")
+        df = df.join(self._side(leaf), parent, "left")
         used_leaf = F.col("_exact").isNull() & F.col("_leaf").isNotNull()
         return df.select(
             *[c for c in df.columns if c not in ("_exact", "_leaf", "_shared", out)],
@@ -145,7 +150,7 @@ class Taxonomy:
         """Adds the parameter: by full path, else by the level-5 label alone, else empty."""
         exact = self.parameters().withColumnRenamed("param", "_exact")
         leaf = self.leaf_parameters().withColumnRenamed("param", "_leaf")
-        df = df.join(small_side(exact, self.small), LEVELS, "left").join(small_side(leaf, self.small), "l5", "left")
+        df = df.join(self._side(exact), LEVELS, "left").join(self._side(leaf), "l5", "left")
         return df.select(*[c for c in df.columns if c not in ("_exact", "_leaf", out)],
                          F.coalesce("_exact", "_leaf", F.lit("")).alias(out))
 
@@ -182,12 +187,17 @@ class Taxonomy:
         exact = exact.select(*[F.col(c).alias(k) for c, k in zip(levels, keys)], F.col(value).alias("_exact"))
         leaf = leaf.select(F.col(levels[-1]).alias(last), F.col(value).alias("_leaf"))
         plain = df.columns
-        # rows without a key need no lookup and would all meet in one partition
         df = fence(df, *keys)
-        known = df.filter(F.col(last).isNotNull())
-        rest = df.filter(F.col(last).isNull()).select(*plain, F.lit(None).cast(exact.schema["_exact"].dataType).alias(out))
-        known = known.join(small_side(exact, is_small(exact)), keys, "left").join(small_side(leaf, is_small(leaf)), last, "left")
-        return known.select(*plain, F.coalesce("_exact", "_leaf").alias(out)).unionByName(rest)
+        # all rows in one plan, which is evaluated once however many levels follow. Rows without a key need no lookup: where
+        # rows move, they are spread by their own values and don't meet in one partition
+        hashed = [c for c in plain if "map<" not in df.schema[c].dataType.simpleString()]
+        spread = F.when(F.col(last).isNull(), F.pmod(F.hash(*hashed), F.lit(4096)) + 1).otherwise(0)
+        for table, by in ((exact, keys), (leaf, [last])):
+            if self.small or is_small(table):
+                df = df.join(F.broadcast(table), by, "left")
+            else:
+                df = df.withColumn("_spread", spread).join(table.withColumn("_spread", F.lit(0)), [*by, "_spread"], "left").drop("_spread")
+        return df.select(*plain, F.coalesce("_exact", "_leaf").alias(out))
 
 
 def best_option(options: Column, scores: str | None) -> Column:

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan
+
 from complaintflow.checks.views import fixture_taxonomy
 from complaintflow.functions.labels import clean_label
 from complaintflow.operators import reconcile as rc
@@ -140,3 +142,25 @@ def test_many_paths_with_one_shared_label(spark):
         picked = Taxonomy(rows, limit).pick_lower_levels(seen, F.lit(True))
         got = sorted((r["layer3"] or "", r["layer4"], r["layer5"], r["quality_param"]) for r in picked.collect())
         assert got == [("", "", "", ""), ("c7", "Lainnya", "d7", "p"), ("none", "", "", "")]
+
+
+def test_a_large_taxonomy_is_looked_up_in_one_plan_without_meeting_by_label(spark, taxonomy, monkeypatch):
+    paths = spark.createDataFrame([(i, "LAYANAN", None if i % 3 else "KETENAGALISTRIKAN", "Pengaduan" if i % 2 else None) for i in range(60)],
+                                  "id int, layer1 string, layer2 string, layer3 string")
+    rows = paths.withColumn("n", F.col("id") + 0)
+    want = sorted(map(tuple, Taxonomy(taxonomy.rows).pick_lower_levels(rows, F.lit(True)).collect()))
+    large = Taxonomy(taxonomy.rows, 0)
+    large.small = False
+    found = large.pick_lower_levels(rows, F.lit(True))
+    assert "Union" not in plan(found) and plan(found).count("BroadcastHashJoin") == 6
+    options = large.with_options(paths.toDF("id", "l1", "l2", "l3"), 4)
+    assert plan(options).count("BroadcastHashJoin") == 2
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr("complaintflow.operators.taxonomy.is_small", lambda *_: False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = large.pick_lower_levels(rows, F.lit(True))
+        assert "Union" not in plan(found) and sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
