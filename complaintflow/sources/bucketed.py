@@ -7,8 +7,22 @@ is a merge of files that lie ready. A table is its folder; a session that doesn'
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BUCKETS = 256
+#: A bucket is read by one task.
+BUCKET_BYTES = 32 * 1024 * 1024
+
+
+def buckets_for(*tables: DataFrame, at_least: int = 4) -> int:
+    """A number of buckets for tables that are joined with each other, a power of two, so that a bucket of the largest holds
+    about ``BUCKET_BYTES``, whatever the size of the tables."""
+    def size(rows: DataFrame) -> int:
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, t in rows.dtypes if t == "string"]
+        return rows.agg(F.coalesce(F.sum(sum(texts, F.lit(8 * len(rows.columns)).cast("long"))), F.lit(0))).first()[0]
+
+    wanted = max(at_least, *(-(-size(rows) // BUCKET_BYTES) for rows in tables))
+    return 1 << (wanted - 1).bit_length()
 
 
 def write_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int = BUCKETS) -> DataFrame:

@@ -53,3 +53,12 @@ def test_a_later_session_attaches_the_table(spark, stores, no_broadcast):
     again = bucketed.attach_bucketed(spark, "b_again", f"{base}/reviews", schemas.REVIEWS, "id", 4)
     assert again.count() == stores[0].count()
     assert moved(reporting.result_feed(again, stores[1])) == []
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    small, large = views.results(spark, SMALL), views.reviews(spark, SMALL)
+    assert bucketed.buckets_for(small, large) == 4 == bucketed.buckets_for(small.limit(0))
+    monkeypatch.setattr(bucketed, "BUCKET_BYTES", 10_000)
+    n = bucketed.buckets_for(small, large)
+    assert n == bucketed.buckets_for(large, small) > 4 and n & (n - 1) == 0
+    assert n / 2 < large.selectExpr("sum(octet_length(review_text)) / 10000").first()[0] * 2 < n * 4
