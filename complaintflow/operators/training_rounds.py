@@ -72,20 +72,19 @@ def _with_labels(state: State, train: DataFrame) -> State:
 
 def _matrix(words: Sequence[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, feature and value of all cells: (1 + log of the count) times idf, each row of length one."""
-    rows, cols, values = [], [], []
-    for i, w in enumerate(words):
-        found, n = np.unique(np.asarray(w, np.int64), return_counts=True)
-        x = (1 + np.log(n)) * idf[found]
-        rows.append(np.full(len(found), i))
-        cols.append(found)
-        values.append(x / np.sqrt(x @ x) if len(x) else x)
-    return (np.concatenate(rows), np.concatenate(cols), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    lengths = np.array([len(w) for w in words], np.int64)
+    if not lengths.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    cells = np.repeat(np.arange(len(words)), lengths) * len(idf) + np.concatenate([np.asarray(w, np.int64) for w in words])
+    found, n = np.unique(cells, return_counts=True)
+    rows, cols = found // len(idf), found % len(idf)
+    values = (1 + np.log(n)) * idf[cols]
+    return rows, cols, values / np.sqrt(np.bincount(rows, values * values))[rows]
 
 
 def _probabilities(n: int, cells, weights: np.ndarray) -> np.ndarray:
     row, col, value = cells
-    logits = np.tile(weights[-1], (n, 1))
-    np.add.at(logits, row, weights[col] * value[:, None])
+    logits = weights[-1] + np.stack([np.bincount(row, w[col] * value, n) for w in weights.T], axis=1)
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
     return p / p.sum(axis=1, keepdims=True)
@@ -107,7 +106,8 @@ def _gradient(rows: DataFrame, state: State) -> tuple[np.ndarray, float, float]:
             mass += float(weight.sum())
             p[at, y] -= 1
             p *= weight[:, None]
-            np.add.at(total, cells[1], p[cells[0]] * cells[2][:, None])
+            for c in range(classes):
+                total[:, c] += np.bincount(cells[1], p[cells[0], c] * cells[2], len(total))
             total[-1] += p.sum(axis=0)
         touched = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pd.DataFrame({"i": [*touched.tolist(), -1, -2], "g": [*total[touched].tolist(), [loss] + [0.0] * (classes - 1), [mass] + [0.0] * (classes - 1)]})
@@ -135,6 +135,7 @@ def train_rounds(train: DataFrame, held_out: DataFrame, rounds: int = ROUNDS, st
     index = F.array_position(F.lit(list(now.labels)), F.col("label")) - 1
     rows = weighted(train).select(features(F.col("text"), now.features).alias("words"), index.cast("int").alias("y"), "weight",
                                   F.pmod(F.xxhash64("text", "label"), F.lit(steps)).alias("slice")).persist()
+    held = held_out.select(features(F.col("text"), now.features).alias("words"), "label").persist()
     best = None
     try:
         for _ in range(rounds):
@@ -144,18 +145,18 @@ def train_rounds(train: DataFrame, held_out: DataFrame, rounds: int = ROUNDS, st
                 loss, mass = loss + some_loss, mass + some_mass
                 if some_mass:
                     now = _step(now, gradient / some_mass, rate)
-            score = summary(confusion_cells(predictions(now, held_out))).first()["macro_f1"]
+            score = summary(confusion_cells(_predicted(now, held))).first()["macro_f1"]
             now = replace(now, rounds=now.rounds + 1, macro_f1=score)
             now = replace(now, history=(*now.history, (now.rounds, loss / mass if mass else 0.0, score)))
             if best is None or score is None or score > (best.macro_f1 or 0.0):
                 best = now
     finally:
         rows.unpersist()
+        held.unpersist()
     return replace(best, history=now.history) if best else now
 
 
-def probabilities(state: State, rows: DataFrame, text: str = "text", name: str = "probability") -> DataFrame:
-    """``rows`` with the probability of each label in ``name``, in the order of ``state.labels``."""
+def _scored(state: State, rows: DataFrame, words: Column, name: str) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast((state.idf, state.weights))
 
     @F.pandas_udf("array<double>")
@@ -163,16 +164,26 @@ def probabilities(state: State, rows: DataFrame, text: str = "text", name: str =
         idf, weights = shipped.value
         return pd.Series(list(_probabilities(len(words), _matrix(words.tolist(), idf), weights)))
 
-    return rows.withColumn(name, score(features(F.col(text), state.features)))
+    return rows.withColumn(name, score(words))
 
 
-def predictions(state: State, rows: DataFrame) -> DataFrame:
-    """(actual, predicted) label names; the first label on ties."""
-    p = probabilities(state, rows.select("text", "label"))
+def probabilities(state: State, rows: DataFrame, text: str = "text", name: str = "probability") -> DataFrame:
+    """``rows`` with the probability of each label in ``name``, in the order of ``state.labels``."""
+    return _scored(state, rows, features(F.col(text), state.features), name)
+
+
+def _predicted(state: State, rows: DataFrame) -> DataFrame:
+    """(actual, predicted) label names for rows of (words, label); the first label on ties."""
+    p = _scored(state, rows, F.col("words"), "probability")
     best = F.array_position("probability", F.array_max("probability")).cast("int")
     return p.select(F.col("label").alias("actual"), F.element_at(F.lit(list(state.labels)), best).alias("predicted"))
 
 
+def predictions(state: State, rows: DataFrame) -> DataFrame:
+    """(actual, predicted) label names; the first label on ties."""
+    return _predicted(state, rows.select(features(F.col("text"), state.features).alias("words"), "label"))
+
+
 def score_rows(state: State, rows: DataFrame, target: str, key: str = "id") -> DataFrame:
     """(review_id, target, ord, label, score): class probabilities as the score table that the analysis reads."""
     each = probabilities(state, rows.select(key, "text")).select(F.col(key).alias("review_id"), F.posexplode("probability").alias("ord", "score"))

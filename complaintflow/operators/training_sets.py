@@ -92,7 +92,8 @@ def stratified_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int
     last = (hashed.select("label", "_slice", "_h", key).join(cuts, ["label", "_slice"])
             .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_rest"))
             .select("label", F.struct("_h", F.col(key).alias("_key")).alias("_last")))
-    placed = hashed.join(last, "label", "left")
+    # one row a class; where classes are few, no row moves to the task of its class
+    placed = hashed.join(small_side(last, is_small(df.select("label").distinct())), "label", "left")
     in_test = F.coalesce(F.struct("_h", F.col(key).alias("_key")) <= F.col("_last"), F.lit(False))
     return placed.select(*df.columns, F.when(in_test, "test").otherwise("train").alias("part"))
 
@@ -108,4 +109,4 @@ def class_weights(train: DataFrame) -> DataFrame:
 
 def weighted(train: DataFrame) -> DataFrame:
     """Training rows with their class weight in ``weight``."""
-    return train.join(class_weights(train).select("label", "weight"), "label")
+    return train.join(small_side(class_weights(train).select("label", "weight"), is_small(train.select("label").distinct())), "label")

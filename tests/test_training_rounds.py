@@ -73,3 +73,18 @@ def test_classes_weigh_alike(spark, rows):
     prepared = op.weighted(rows).selectExpr("label", "weight").groupBy("label").agg({"weight": "sum"}).collect()
     assert max(r[1] for r in prepared) == pytest.approx(min(r[1] for r in prepared))
     assert state.features == 64 and state.weights.shape == (65, 3)
+
+
+def test_cells_of_many_rows_at_once():
+    idf = np.linspace(0.5, 2, 8)
+    words = [np.array([3, 1, 3, 7]), np.array([], int), np.array([0]), np.array([7, 7, 7, 1])]
+    row, col, value = op._matrix(words, idf)
+    want = [(i, c, (1 + np.log((w == c).sum())) * idf[c]) for i, w in enumerate(words) for c in sorted(set(w.tolist()))]
+    norm = {i: np.sqrt(sum(x * x for k, _, x in want if k == i)) for i in range(4)}
+    assert [(r, c) for r, c in zip(row, col)] == [(i, c) for i, c, _ in want]
+    assert np.allclose(value, [x / norm[i] for i, _, x in want])
+    assert all(len(x) == 0 for x in op._matrix([np.array([], int)], idf)) and all(len(x) == 0 for x in op._matrix([], idf))
+    weights = np.arange(18.0).reshape(9, 2) / 10
+    logits = np.array([weights[-1] + sum((weights[c] * v for r, c, v in zip(row, col, value) if r == i), np.zeros(2)) for i in range(4)])
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    assert np.allclose(op._probabilities(4, (row, col, value), weights), p)
