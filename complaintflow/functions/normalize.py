@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from complaintflow.functions import lexicon as lx
 from complaintflow.functions.text import SPACE, WORD, bare, fence, lookup, squeeze, strip
+from complaintflow.operators.joins import is_small, small_side
 
 
 # --------------------------------------------------------------------------- text-level steps
@@ -247,7 +248,9 @@ def apply_slang_table(df: DataFrame, key: str, col: str, out: str, slang: DataFr
     each = df.select(key, F.posexplode(parts).alias("pos", "p")).select(key, "pos", "p.t", "p.k", "p.n")
     each = each.withColumn("pair", F.trim(F.concat("k", F.lit(" "), "n")))
     singles = once.filter(~F.contains("token", F.lit(" "))).select(F.col("token").alias("k"), F.col("r").alias("one"))
-    each = each.join(singles, "k", "left").join(once.select(F.col("token").alias("pair"), F.col("r").alias("two")), "pair", "left")
+    pairs = once.select(F.col("token").alias("pair"), F.col("r").alias("two"))
+    small = is_small(once)  # then the tokens stay where they are until their texts are put together
+    each = each.join(small_side(singles, small), "k", "left").join(small_side(pairs, small), "pair", "left")
     word = F.struct("pos", F.when(F.col("k").isin(silent), "").otherwise(F.coalesce("one", "t")).alias("one"), "two")
     whole = each.groupBy(key).agg(F.sort_array(F.collect_list(word)).alias("_w"))
     flags = F.array_join(F.transform("_w", lambda w: F.when(w["two"].isNotNull(), "1").otherwise("0")), "")

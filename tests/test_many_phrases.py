@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from conftest import plan
+
+from complaintflow.functions import normalize
 from complaintflow.functions import classify, sentiment, text
 
 
@@ -45,3 +48,16 @@ def test_sentiment_does_not_change_with_the_way_of_searching(spark, monkeypatch)
     monkeypatch.setattr(text, "MANY_PHRASES", 5)
     assert sentiment.score_sentiment(rows, "t", rules).select("t", *columns).collect() == one_by_one
     assert len({r["sentiment_confidence"] for r in one_by_one}) > 5
+
+
+def test_tokens_stay_where_they_are_for_a_small_slang_table(spark):
+    slang = spark.createDataFrame([("gk", "tidak"), ("gk bs", "tidak bisa")], "token string, replacement string")
+    df = spark.createDataFrame([(1, "gk bs gk"), (2, "- gk"), (3, "bs")], "id int, t string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = normalize.apply_slang_table(df, "id", "t", "t", slang)
+        assert plan(done).count("BroadcastHashJoin") == 2
+        assert {r["id"]: r["t"] for r in done.collect()} == {1: "tidak bisa tidak", 2: "- tidak", 3: "bs"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
